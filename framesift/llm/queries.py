@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from framesift.llm.runtime import table
 
@@ -21,5 +22,51 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.both(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.digests, bpe.DIGESTS)
 
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe}
+def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shuffle all documents into 40 shards; the digest is taken from the shuffled records."""
+    from framesift.llm import shards
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = shards.shuffle_into_shards(docs, 40, ["doc_id", "text"])
+    return out.select(
+        "doc_id", shards.record_size().alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan every document for licence phrases."""
+    from framesift.llm import licenses
+
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document; learn from labelled rows outside the held-out fifth."""
+    from framesift.llm import toxicity
+    from framesift.llm.langid import fold
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    train = docs.join(labels.where(fold("doc_id", 5) != 0), "doc_id")
+    scored = toxicity.score(docs, toxicity.fit(train), evidence=0)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predict every document's language; learn from those outside the held-out third."""
+    from framesift.llm import langid
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(langid.fold("doc_id", 3) != 1))
+    return langid.label(docs, model).select("doc_id", (langid.fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES: dict[str, Query] = {
+    "op1_bpe": op1_bpe,
+    "op5_shards": op5_shards,
+    "op7_licenses": op7_licenses,
+    "op8_toxicity": op8_toxicity,
+    "op10_langid": op10_langid,
+}
 ORACLE: dict[str, str] = {}
