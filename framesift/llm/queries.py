@@ -34,6 +34,27 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest inner products of every 50th vector with all others."""
+    from framesift.llm import kdtree
+
+    return kdtree.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS f FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.f, v.f) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id AND len(v.f) = len(q.f)
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan every document for licence phrases."""
     from framesift.llm import licenses
@@ -53,6 +74,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link all vectors with a cosine of 0.9 or more."""
+    from framesift.llm import embedding_dedup
+
+    return embedding_dedup.link(table(spark, sf_dir, "embeddings"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predict every document's language; learn from those outside the held-out third."""
     from framesift.llm import langid
@@ -65,8 +93,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op5_shards": op5_shards,
+    "op6_kdtree": op6_kdtree,
     "op7_licenses": op7_licenses,
     "op8_toxicity": op8_toxicity,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_langid": op10_langid,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_kdtree": OP6_SQL}
