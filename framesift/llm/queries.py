@@ -69,8 +69,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    train = docs.join(labels.where(fold("doc_id", 5) != 0), "doc_id")
-    scored = toxicity.score(docs, toxicity.fit(train), evidence=0)
+    model = toxicity.fit(docs, labels.where(fold("doc_id", 5) != 0))
+    scored = toxicity.score(docs, model, evidence=0)
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 

@@ -154,15 +154,20 @@ def isotonic(x: np.ndarray, y: np.ndarray, prior: float, weight: float = 2.0) ->
     return np.array(xs), np.maximum.accumulate(np.array(ys))
 
 
-def fit(labelled: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Learn from a bounded sample of ``labelled`` rows, drawn by a hash of ``doc_id``. Rows whose label is
-    not 0 or 1 teach nothing."""
-    ship(labelled.sparkSession)
-    rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("y"))
+def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+    """Learn from the texts in ``docs`` of a bounded sample of ``labels``, drawn by a hash of ``doc_id``. Rows
+    whose label is not 0 or 1 teach nothing. Only the drawn ids meet the texts: of at most 2 * ``sample`` +
+    ``calibration`` labels, they are broadcast, and texts aren't shuffled."""
+    ship(docs.sparkSession)
+    known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("y"))
     order = F.xxhash64(F.lit(29), "id")
     apart = F.pmod(F.xxhash64(F.lit(37), "id"), F.lit(4)) == 0
-    per = [rows.where((F.col("y") == y) & ~apart).orderBy(order, "id").limit(settings.sample).withColumn("part", F.lit(0)) for y in (0, 1)]
-    natural = rows.where(apart).orderBy(order, "id").limit(settings.calibration).withColumn("part", F.lit(1))
+    ids = [known.where((F.col("y") == y) & ~apart).orderBy(order, "id").limit(settings.sample).withColumn("part", F.lit(0)) for y in (0, 1)]
+    ids.append(known.where(apart).orderBy(order, "id").limit(settings.calibration).withColumn("part", F.lit(1)))
+    ids = ids[0].unionByName(ids[1]).unionByName(ids[2]).dropDuplicates(["id", "y"])
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    drawn = texts.join(F.broadcast(ids), "id").groupBy("id", "y", "part").agg(F.min("text").alias("text"))  # one row an id
+    drawn = drawn.select("id", "y", "part", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -171,7 +176,6 @@ def fit(labelled: DataFrame, settings: Settings = Settings(), doc_id: str = "doc
             lists = [pa.ListArray.from_arrays(ends, pa.array(v.astype(np.int32))) for v in (t, c)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), batch.column("part"), *lists], names=["id", "y", "part", "terms", "counts"])
 
-    drawn = per[0].unionByName(per[1]).unionByName(natural)
     got = drawn.mapInArrow(count, "id long, y int, part int, terms array<int>, counts array<int>").toArrow().combine_chunks()
     part, y, ids = (got.column(c).to_numpy() for c in ("part", "y", "id"))
     docs = list(zip(*(np.split(got.column(c).combine_chunks().values.to_numpy(), got.column(c).combine_chunks().offsets.to_numpy()[1:-1]) for c in ("terms", "counts")))) if len(got) else []

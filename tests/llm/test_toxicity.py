@@ -36,13 +36,13 @@ def test_edges(spark):
     rows = [(k, f"you stupid clown {k}" if k % 3 == 0 else f"a fine day in the garden {k}", int(k % 3 == 0)) for k in range(90)]
     labelled = spark.createDataFrame([*rows, (91, None, 0), (92, "x", None)], "doc_id long, text string, toxic int")
     settings = toxicity.Settings(sample=25, examples=10, calibration=200, terms=200, block=4, k=5, least_rows=2)
-    m = toxicity.fit(labelled, settings)
+    m = toxicity.fit(labelled, labelled, settings)
     df = spark.createDataFrame([(1, "what a stupid CLOWN", "x"), (2, "the garden", "x"), (3, None, "x"), (4, "", "x"), (5, "stupid clown " * 5000, "x"), (5, "stupid clown", "x")], "doc_id long, text string, score string")
     got = toxicity.score(df, m).collect()
     by = {x.doc_id: x for x in got}
     assert len(got) == 6 and by[1].score > 0.5 > by[2].score and by[5].score > 0.5
     assert by[3].score == by[4].score < 0.5 and by[3].evidence == []
     assert by[1].evidence[0].toxic == 1
-    none = toxicity.fit(labelled.where("toxic = 0"), settings)
+    none = toxicity.fit(labelled, labelled.where("toxic = 0"), settings)
     assert [x.score for x in toxicity.score(df, none).collect()] == [0.0] * 6
     assert toxicity.score(df.limit(0), m).count() == 0
