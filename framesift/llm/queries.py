@@ -22,6 +22,35 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.both(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.digests, bpe.DIGESTS)
 
 
+def op4_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove words of 13-word phrases that start in an earlier document too."""
+    from framesift.llm import phrase_dedup
+
+    out = phrase_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, unnest(range(1, len(w) - 11)) AS s, w FROM d WHERE len(w) >= 13
+), p AS (
+  SELECT doc_id, s, md5(array_to_string(w[s : s + 12], ' ')) AS h FROM g
+), f AS (
+  SELECT h, min(doc_id) AS first_doc FROM p GROUP BY h
+), c AS (
+  SELECT DISTINCT p.doc_id, unnest(range(p.s, p.s + 13)) AS i FROM p JOIN f USING (h) WHERE f.first_doc < p.doc_id
+), r AS (
+  SELECT doc_id, count(*) AS n, list(i) AS gone FROM c GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN r.n IS NULL THEN d.w ELSE
+         list_transform(list_filter(list_zip(d.w, range(1, len(d.w) + 1)), lambda x: NOT list_contains(r.gone, x[2])), lambda x: x[1]) END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shuffle all documents into 40 shards; the digest is taken from the shuffled records."""
     from framesift.llm import shards
@@ -92,6 +121,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
+    "op4_phrases": op4_phrases,
     "op5_shards": op5_shards,
     "op6_kdtree": op6_kdtree,
     "op7_licenses": op7_licenses,
@@ -99,4 +129,4 @@ QUERIES: dict[str, Query] = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_langid": op10_langid,
 }
-ORACLE: dict[str, str] = {"op6_kdtree": OP6_SQL}
+ORACLE: dict[str, str] = {"op4_phrases": OP4_SQL, "op6_kdtree": OP6_SQL}
