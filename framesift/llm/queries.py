@@ -22,6 +22,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.both(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.digests, bpe.DIGESTS)
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near copies of every document: five-word runs, similarity 0.8."""
+    from framesift.llm import dart_minhash
+
+    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove words of 13-word phrases that start in an earlier document too."""
     from framesift.llm import phrase_dedup
@@ -121,6 +128,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_phrases": op4_phrases,
     "op5_shards": op5_shards,
     "op6_kdtree": op6_kdtree,

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED = "_framesift_shipped"
 
@@ -88,3 +89,49 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21)
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+
+
+def by_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 4096) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """Batches of whole groups of rows sorted by ``keys``, and where each group begins (and the last ends)."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    def edges(batch: pa.RecordBatch) -> list[int]:
+        key = [batch.column(k).to_numpy() for k in keys]
+        new = np.zeros(batch.num_rows - 1, bool)
+        for k in key:
+            new |= k[1:] != k[:-1]
+        return [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < least:
+            continue
+        whole = joined()
+        at = edges(whole)
+        if len(at) > 2:
+            yield whole.slice(0, at[-2]), at[:-1]
+        held = [whole.slice(at[-2])]
+        rows = held[0].num_rows
+        least = max(least, 2 * rows) if len(at) <= 2 else least  # a long group is not joined again and again
+    if held:
+        whole = joined()
+        yield whole, edges(whole)
+
+
+def in_blocks(members: DataFrame, keys: list[str], member: str, size: str, block: int) -> DataFrame:
+    """Members of groups dealt out so that no task gets a large group whole. A group of more than ``block``
+    members (column ``size``) is split into blocks by a hash of ``member``; each block meets itself and every
+    other one in a group of its own, named by ``i`` and ``j``; ``side`` 1 is the block ``j`` where the two
+    differ. Other groups are one block."""
+    blocks = F.ceil(F.col(size) / block).cast("int")
+    out = members.withColumn("_blocks", F.greatest(blocks, F.lit(1))).withColumn("_mine", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
+    out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    out = out.withColumns({"i": F.least("_mine", "_other"), "j": F.greatest("_mine", "_other"), "side": (F.col("_mine") > F.col("_other")).cast("int")})
+    return out.drop("_blocks", "_mine", "_other", size)
