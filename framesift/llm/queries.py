@@ -22,6 +22,19 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.both(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.digests, bpe.DIGESTS)
 
 
+#: Domains by the labels table, and the shares of tokens wanted of each.
+QUALITY = "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' WHEN quality = 0 THEN 'poor' END"
+TARGETS = {"good": 0.8, "poor": 0.15, "toxic": 0.05}
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates and copies of all documents for target shares of three domains."""
+    from framesift.llm import mixing
+
+    docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
+    return mixing.mix_to_targets(docs.select("doc_id", "text"), labels, QUALITY, TARGETS).drop("text")
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near copies of every document: five-word runs, similarity 0.8."""
     from framesift.llm import dart_minhash
@@ -128,6 +141,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
+    "op2_mixing": op2_mixing,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_phrases": op4_phrases,
     "op5_shards": op5_shards,
