@@ -10,8 +10,8 @@ bytes, a document is never split), and three passes go over the shards:
 2. Confirmation. Only phrases under a recurring anchor are sent on, as 96-bit hashes with the shard's
    smallest doc_id: one a shard however often it recurs there. A bucket returns to each shard the recurring
    phrases that some document of the shard repeats, with the smallest doc_id over all documents.
-3. Location. Each shard compiles its confirmed phrases to an Aho-Corasick automaton over words (a word of
-   them is a character) and streams all its documents through it; each place found is judged by its doc_id.
+3. Location. Each shard joins its confirmed phrases to passages, compiles these to an Aho-Corasick automaton
+   over words, and streams all its documents through it; each place found is judged by its doc_id.
 
 What a shard or bucket holds is bounded by the parameters whatever recurs: a phrase in a third of all
 documents is one entry a shard. No text but the documents themselves is shuffled.
@@ -35,8 +35,6 @@ from framesift.llm.runtime import flat, ship
 from framesift.llm.wordbytes import BLANKS, Words, runs, whole
 
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Words that one character can stand for: all but the surrogates, 0 being any other word.
-_CHARACTERS = 0x10F000 - 0x800
 
 
 class Shard:
@@ -120,30 +118,39 @@ def _joined(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
 
 
 class Automaton:
-    """Aho-Corasick over words. ``phrases``: rows of word numbers, from 1 on; 0 is every other word."""
-
-    def __init__(self, phrases: np.ndarray, distinct: int):
-        self.each = 1 if distinct < _CHARACTERS else 2  # characters a word
-        self.made = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        width = phrases.shape[1] * self.each if len(phrases) else 0
-        text = self.spell(phrases.ravel())
-        for k in range(len(phrases)):
-            self.made.add_word(text[k * width : (k + 1) * width])
-        self.made.make_automaton()
-        self.words = phrases.shape[1] if len(phrases) else 0
-
-    def spell(self, numbers: np.ndarray) -> str:
-        if self.each == 2:
-            numbers = np.stack([numbers >> 10, numbers & 1023], 1).ravel()
-        points = numbers.astype(np.uint32) + np.uint32(1)
-        points[points >= 0xD800] += np.uint32(0x800)
-        return points.astype("<u4").tobytes().decode("utf-32-le")
-
-    def starts(self, numbers: np.ndarray) -> np.ndarray:
-        """Where in a run of words a phrase begins."""
-        ends = np.array([e for e, _ in self.made.iter(self.spell(numbers))], np.int64) + 1
-        ends = ends[ends % self.each == 0] // self.each
-        return ends - self.words
+    """Aho-Corasick over words. A word is spelled in letters of a small alphabet, another one for each place,
+    so that no node has many children and no match begins within a word."""
+
+    ALPHABET = 64
+
+    def __init__(self, numbers: np.ndarray):
+        """``numbers``: the words of a run of documents, from 1 on, 0 for a word that no phrase has."""
+        self.each = 1
+        while self.ALPHABET**self.each <= int(numbers.max(initial=0)):
+            self.each += 1
+        letters = np.empty((len(numbers), self.each), np.uint32)
+        rest = numbers.astype(np.int64)
+        for k in range(self.each):
+            letters[:, k] = rest % self.ALPHABET + 256 * (k + 1)
+            rest //= self.ALPHABET
+        letters[numbers == 0] = 1
+        self.text = letters.astype("<u4").tobytes().decode("utf-32-le")
+        self.made = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+
+    def compile(self, phrases: list[tuple[int, int]]) -> None:
+        """Take as phrases the words from a to b of the run, for each (a, b)."""
+        for a, b in phrases:
+            self.made.add_word(self.text[a * self.each : b * self.each], b - a)
+        if phrases:
+            self.made.make_automaton()
+
+    def places(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of all phrases between the words a and b: the first word, and the one after the last."""
+        if not len(self.made):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found = np.array(list(self.made.iter(self.text, a * self.each, b * self.each)), np.int64).reshape(-1, 2)
+        ends = (found[:, 0] + 1) // self.each
+        return ends - found[:, 1], ends
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 13, anchor: int = 5,
@@ -240,20 +247,32 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
                 k = np.minimum(at + step, len(high) - 1)
                 key = np.where(s.ok & (high[k] == a) & (low[k] == b), k, key)
             found = key >= 0
-            lead, which = np.unique(key[found], return_index=True)  # one place of each confirmed phrase
-            place = np.flatnonzero(found)[which]
-            rows = place[:, None] + np.arange(width)
-            numbers, spelled = np.unique(s.words.hash[rows], return_inverse=True)
+            later = found & (first[np.maximum(key, 0)] < s.doc)  # confirmed, and not the first document's
+            at = np.flatnonzero(later)
+            new = np.ones(len(at), bool)
+            new[1:] = (at[1:] != at[:-1] + 1) | (s.words.doc[at[1:]] != s.words.doc[at[:-1]])
+            begin = np.flatnonzero(new)
+            end = np.append(begin[1:], len(at))
+            # a stretch of phrases is compiled in passages of at most ``width`` of them
+            passages = [(int(at[i]), int(at[min(i + width, z) - 1]) + width) for a0, z in zip(begin, end) for i in range(a0, z, width)]
+            inside = np.zeros(len(s.words.hash) + 1, np.int64)
+            np.add.at(inside, [x for x, _ in passages], 1)
+            np.add.at(inside, [y for _, y in passages], -1)
+            numbers = np.unique(s.words.hash[np.cumsum(inside[:-1]) > 0])
             spot = np.searchsorted(numbers, s.words.hash)
             spot[spot == len(numbers)] = 0
             number = np.where(numbers[spot] == s.words.hash, spot + 1, 0) if len(numbers) else np.zeros(len(spot), np.int64)
-            automaton = Automaton(spelled.reshape(rows.shape) + 1, len(numbers))
+            automaton = Automaton(number)
+            automaton.compile(passages)
             for d in range(table.num_rows):
                 i, j = int(s.words.first[d]), int(s.words.first[d + 1])
-                if j - i >= width and number[i:j].any():
-                    hit = i + automaton.starts(number[i:j])
-                    hit = hit[key[hit] >= 0]
-                    starts[d] = hit[first[key[hit]] < s.ids[d]] - i
+                if j - i >= width:
+                    x, y = automaton.places(i, j)
+                    if len(x):
+                        located = np.zeros(j - i + 1, np.int64)
+                        np.add.at(located, x - i, 1)
+                        np.add.at(located, y - i - width + 1, -1)
+                        starts[d] = np.flatnonzero((np.cumsum(located[: j - i - width + 1]) > 0) & later[i : j - width + 1])
         n_words, n_removed, kept, removed = [], [], [], []
         raw = memoryview(np.ascontiguousarray(s.data))
         for d in range(table.num_rows):
