@@ -20,8 +20,10 @@ COARSE_TIES = ["video_id", "shot_start_ms", "shot_id", "frame_ms"]
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column | str], name: str, most: int | None = None) -> DataFrame:
     """``df`` with a row number from 1 within ``keys``; only those up to ``most``."""
-    out = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-    return out if most is None else out.where(F.col(name) <= most)
+    out = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    if most is not None:
+        out = out.where(F.col(name) <= most)  # pruned before the cast, which would hide it
+    return out.withColumn(name, F.col(name).cast("long"))
 
 
 def _positive(**values: int) -> None:

@@ -39,7 +39,8 @@ def top_unique(scored: DataFrame, k: int, task: str = "task_id", unit: str = "sh
     payload = [c for c in scored.columns if c not in (task, unit)]
     best = best_per_group(scored, [task, unit], [-F.col(score), F.col(position)], payload)
     rank = F.row_number().over(Window.partitionBy(task).orderBy(F.desc(score), position))
-    return best.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).withColumn("embedding_score", F.col(score))
+    best = best.withColumn("rank", rank).where(F.col("rank") <= k)  # pruned before the cast, which would hide it
+    return best.withColumns({"rank": F.col("rank").cast("long"), "embedding_score": F.col(score)})
 
 
 def _partial(tasks: list[tuple[str, list[float]]], k: int, unit: str, position: str):

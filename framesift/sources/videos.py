@@ -11,7 +11,7 @@ from framesift.functions.paths import fallback_path, path_candidates
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*.mp4") -> DataFrame:
-    """Paths under ``root``, from the file system that Spark knows; contents are not read."""
+    """Paths under ``root``, from the file system that Spark knows; contents are not read. Empty files are not listed."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
     return found.select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
 
