@@ -41,7 +41,7 @@ def test_top_k_plan_prunes_before_the_shuffle(spark):
     from framesift.session import tune
 
     tune(spark)
-    rows = spark.range(10).select((F.col("id") % 3).cast("string").alias("task_id"), F.col("id").cast("string").alias("shot_uid"), F.rand().alias("score"), F.col("id").alias("source_index"))
+    rows = spark.createDataFrame([("t", "a", 1.0, 1)], "task_id string, shot_uid string, score double, source_index long")
     plan = topk.top_unique(rows, 3000)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "partial_min" in plan
 
