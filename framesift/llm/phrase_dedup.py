@@ -264,15 +264,25 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
             number = np.where(numbers[spot] == s.words.hash, spot + 1, 0) if len(numbers) else np.zeros(len(spot), np.int64)
             automaton = Automaton(number)
             automaton.compile(passages)
-            for d in range(table.num_rows):
+            # a place can only lie in a stretch of at least ``width`` words that phrases have, within a document
+            known = np.flatnonzero(number)
+            fresh = np.ones(len(known), bool)
+            fresh[1:] = (known[1:] != known[:-1] + 1) | (s.words.doc[known[1:]] != s.words.doc[known[:-1]])
+            heads = known[fresh]
+            tails = known[np.append(np.flatnonzero(fresh)[1:], len(known)) - 1] + 1 if len(known) else known
+            place = np.zeros(len(later), bool)
+            for x, y in zip(heads.tolist(), tails.tolist()):
+                if y - x >= width:
+                    first_word, after = automaton.places(x, y)
+                    if len(first_word):
+                        located = np.zeros(y - x + 1, np.int64)
+                        np.add.at(located, first_word - x, 1)
+                        np.add.at(located, after - x - width + 1, -1)
+                        place[x : y - width + 1] |= np.cumsum(located[: y - x - width + 1]) > 0
+            place &= later
+            for d in np.unique(s.words.doc[np.flatnonzero(place)]):
                 i, j = int(s.words.first[d]), int(s.words.first[d + 1])
-                if j - i >= width:
-                    x, y = automaton.places(i, j)
-                    if len(x):
-                        located = np.zeros(j - i + 1, np.int64)
-                        np.add.at(located, x - i, 1)
-                        np.add.at(located, y - i - width + 1, -1)
-                        starts[d] = np.flatnonzero((np.cumsum(located[: j - i - width + 1]) > 0) & later[i : j - width + 1])
+                starts[d] = np.flatnonzero(place[i : max(i, j - width + 1)])
         n_words, n_removed, kept, removed = [], [], [], []
         raw = memoryview(np.ascontiguousarray(s.data))
         for d in range(table.num_rows):
