@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.runtime import cut
+from framesift.llm.runtime import cut, discard
 
 #: Rounds grow as the logarithm of the longest path; this many would be a fault in the input.
 MOST_ROUNDS = 60
@@ -22,7 +22,7 @@ def _digest(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``id`` and ``component`` (its smallest reachable id) for every id on an edge to another id. Loops,
-    repeated edges and nulls don't matter."""
+    repeated edges and nulls don't matter. The result is a table written by ``cut``; the caller may discard it."""
     now = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     now = now.select(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b"))
     now = cut(now.distinct(), "edges")
@@ -35,7 +35,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small-star: every smaller neighbour of a vertex, and the vertex, go to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        last, now = now, cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        discard(last)
         after = _digest(now)
         if after == before:
             break
@@ -43,4 +44,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     stars = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct())
+    out = cut(stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct()), "components")
+    discard(now)
+    return out

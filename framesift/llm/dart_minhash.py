@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framesift.llm.components import components
-from framesift.llm.runtime import by_groups, cut, flat, in_blocks, pieces, ship
+from framesift.llm.runtime import by_groups, cut, discard, flat, in_blocks, pieces, ship
 from framesift.llm.wordbytes import BLANKS, Words, mix, runs, whole
 
 
@@ -278,16 +278,23 @@ def near_duplicates(df: DataFrame, settings: Settings = Settings(), doc_id: str
 
         joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         joined = joined.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-        return joined.mapInArrow(measure, "a long, b long").distinct()
+        out = cut(joined.mapInArrow(measure, "a long, b long").distinct(), "links")
+        discard(texts)
+        return out
 
     tried = cut(promising(None), "pairs")
-    links = cut(settle(tried), "links")
-    component = cut(components(links), "components")
+    links = settle(tried)
+    component = components(links)
     more = cut(promising(component).join(tried, ["a", "b"], "left_anti"), "pairs")
-    if more.limit(1).count():
-        links = cut(links.unionByName(settle(more)), "links")
-        component = cut(components(links), "components")
+    done = [tried, links, more]
+    if not more.isEmpty():
+        again = settle(more)
+        done += [again, component]
+        component = components(links.unionByName(again))
     found = classes.select("s1", "s2", "id").join(component, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("class_id"))
     out = taking.select("id", "s1", "s2").join(found, ["s1", "s2"]).select("id", "class_id")
     rest = signed.where("NOT has OR id IS NULL").select("id", F.col("id").alias("class_id"))
-    return out.unionByName(rest).select(F.col("id").alias("doc_id"), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    out = out.unionByName(rest).select(F.col("id").alias("doc_id"), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    out = cut(out, "classes")
+    discard(signed, classes, component, *done)
+    return out

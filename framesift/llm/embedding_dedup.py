@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framesift.llm.components import components
-from framesift.llm.runtime import cut, ship
+from framesift.llm.runtime import cut, discard, ship
 
 
 def usable(vector: str) -> Column:
@@ -196,9 +196,12 @@ def link(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", thres
 
     met = cut(dealt.mapInArrow(meet, "id long, n long, root long"), "links")
     links = met.groupBy("id").agg(F.sum("n").alias("n"))
-    whole = components(met.select("id", "root").distinct(), "id", "root").select("id", "component")
+    component = components(met.select("id", "root").distinct(), "id", "root")
+    whole = component.select("id", "component")
     classes = distinct.join(links, "id", "left").join(whole, "id", "left").select("v", "id", "times", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "id").alias("component"))
     members = good.join(classes, "v").select("vec_id", (F.col("n") + F.col("times") - 1).alias("n_links"), F.col("component").alias("component_id"))
     rest = every.where(~F.coalesce(F.col("vec_id").isNotNull() & usable("v") & (F.size("v") == d), F.lit(False)))
     rest = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return members.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    out = cut(members.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "linked")
+    discard(distinct, met, component)
+    return out

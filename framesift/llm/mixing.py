@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.runtime import cut
+from framesift.llm.runtime import cut, discard
 
 BLANK = r"[\x20\x09-\x0D]+"
 #: Buckets of each measure.
@@ -179,6 +179,7 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, domain: str, targets: dic
     if whole in model.domains:
         likely = cells.where(F.col("_p")[model.domains.index(whole)] >= 0.5).agg(F.min(_rate(v)).alias("r")).first()["r"]
         scale = 1 / likely if likely else 1.0
+    discard(cells)
     out = _measures(out, text, model.markers).withColumn("_p", _posterior(model))
     out = out.withColumn("rate", _rate(v) * scale).withColumn("n_tokens", F.col("_tokens"))
     out = out.withColumns({f"p_{d}": F.col("_p")[model.domains.index(d)] if d in model.domains else F.lit(0.0) for d in sorted(targets)})
