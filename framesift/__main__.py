@@ -45,6 +45,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--embedder", default="framesift.models:HashEmbedder")
     p = add("retrieve", "tasks", "corpus-dir+", "output", parts=True)
     p.add_argument("--top-k", type=int, default=3000)
+    p.add_argument("--reuse", action="store_true")
     p.add_argument("--embedder", default="framesift.models:HashEmbedder")
     p = add("rerank", "tasks", "candidates+", "shots-dir", "video-root", "output-dir", parts=True)
     for flag, kind, value in (("candidate-limit", int, 500), ("fine-top-k", int, 30), ("fine-window-ms", int, 750), ("fine-fps", float, 8.0), ("long-shot-fps", float, 1.0), ("max-predictions", int, 10)):
@@ -74,7 +75,7 @@ def main(args: list[str] | None = None) -> dict:
     elif a.command == "retrieve":
         make = plugin(a.embedder)
         dimension = commands.corpus.describe(spark, a.corpus_dir[0])["dimension"]
-        out = commands.retrieve(spark, a.tasks, a.corpus_dir, a.output, (lambda: make(dimension)) if make is models.HashEmbedder else make, a.top_k, a.partition_index, a.partitions)
+        out = commands.retrieve(spark, a.tasks, a.corpus_dir, a.output, (lambda: make(dimension)) if make is models.HashEmbedder else make, a.top_k, a.partition_index, a.partitions, a.reuse)
     elif a.command == "rerank":
         out = commands.rerank_tasks(spark, a.tasks, a.candidates, a.shots_dir, a.video_root, a.output_dir, readers, plugin(a.scorer), a.candidate_limit, a.fine_top_k,
                                     a.fine_window_ms, a.fine_fps, a.long_shot_fps, a.max_predictions, a.partition_index, a.partitions)

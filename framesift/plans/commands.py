@@ -104,16 +104,21 @@ def embed_corpus(spark: SparkSession, manifest_path: str, out: str, reader: list
     return state | {"seconds": round(time.monotonic() - started, 3)}
 
 
-def retrieve(spark: SparkSession, tasks_path: str, corpora: list[str], out: str, embedder: Factory, top_k: int = 3000, index: int = 0, parts: int = 1) -> dict:
-    """The k best unique segments for each task, from all corpora."""
+def retrieve(spark: SparkSession, tasks_path: str, corpora: list[str], out: str, embedder: Factory, top_k: int = 3000, index: int = 0, parts: int = 1, reuse: bool = False) -> dict:
+    """The k best unique segments for each task, from all corpora. With ``reuse`` an output that was written in full
+    under the same configuration is kept."""
     partition.check_partition(index, parts)
     tune(spark)
+    config = {"tasks": tasks_path, "corpora": corpora, "top_k": top_k, "index": index, "parts": parts}
+    if reuse and control.exists(spark, f"{out}/_SUCCESS") and control.read(spark, f"{out}/_config.json") == config:
+        return config | {"output": out, "reused": True}
     tasks = partition.take_partition(tables.load_tasks(spark, tasks_path), index, parts, "task_pos")
     dimension = corpus.describe(spark, corpora[0])["dimension"]
     queries = models.embed(tasks, "description", embedder, dimension, "query").select("task_id", "query")
     frames = corpus.read_corpora(spark, corpora).drop("chunk")
     sinks.write_candidates(topk.retrieve(queries, frames, top_k), out)
-    return {"tasks": tasks.count(), "frames": frames.count(), "top_k": top_k, "output": out}
+    control.write(spark, f"{out}/_config.json", config)  # names that begin with _ are no data
+    return config | {"output": out, "reused": False}
 
 
 def rerank_tasks(spark: SparkSession, tasks_path: str, candidates: list[str], shots_dir: str, video_root: str, out: str, readers: list[Factory], scorer: Factory,

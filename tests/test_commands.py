@@ -46,7 +46,8 @@ def test_from_videos_to_submission(spark, world):
     tasks = f"{root}/tasks.jsonl"
     parts = []
     for k in range(2):
-        commands.retrieve(spark, tasks, both, f"{out}/found{k}", embedder, 50, k, 2)
+        for again in (False, True):
+            assert commands.retrieve(spark, tasks, both, f"{out}/found{k}", embedder, 50, k, 2, reuse=True)["reused"] is again
         parts.append(f"{out}/found{k}")
     assert commands.merge_candidates(spark, parts, tasks, f"{out}/found")["tasks"] == 3
     found = tables.load_candidates(spark, f"{out}/found")
