@@ -1,18 +1,64 @@
-"""Connected components of a graph given as edges, by alternating large-star and small-star rounds.
+"""Connected components of a graph given as edges: contraction within tasks, then alternating large-star and
+small-star rounds.
 
-Each round is two aggregations of a minimum (combined before the shuffle) and two joins on a vertex, which
+Edges are dealt to tasks of at most ``TASK_EDGES``; each replaces its own by a star for each component that
+they form. If that was one task the stars are the components. Else rounds follow until nothing changes. Each round is two aggregations of a minimum (combined before the shuffle) and two joins on a vertex, which
 AQE can split where a vertex is hot; edges stay as many as vertices at most after the first rounds. Rounds
 are cut by a table in the shared folder. Only counts reach the driver."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.runtime import cut, discard
+from framesift.llm.runtime import cut, discard, ship
 
 #: Rounds grow as the logarithm of the longest path; this many would be a fault in the input.
 MOST_ROUNDS = 60
+#: Edges that one task contracts at once: 16 MB of ids.
+TASK_EDGES = 1 << 20
+
+
+def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Smallest reachable index of each of n members, over the pairs (x, y)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars (member, smallest member) of the components that a task's edges form, ``TASK_EDGES`` at a time."""
+    held, rows = [], 0
+
+    def stars() -> pa.RecordBatch:
+        ids, at = np.unique(np.concatenate(held), return_inverse=True)
+        at = at.reshape(-1, 2)
+        root = roots(len(ids), at[:, 0], at[:, 1])
+        who = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(ids[root[who]])], names=["a", "b"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(np.stack([batch.column("a").to_numpy(), batch.column("b").to_numpy()], 1).ravel())
+            rows += batch.num_rows
+            if rows >= TASK_EDGES:
+                yield stars()
+                held, rows = [], 0
+    if held:
+        yield stars()
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -25,9 +71,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     repeated edges and nulls don't matter. The result is a table written by ``cut``; the caller may discard it."""
     now = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     now = now.select(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b"))
-    now = cut(now.distinct(), "edges")
-    before = _digest(now)
-    for _ in range(MOST_ROUNDS):
+    ship(edges.sparkSession)
+    every = cut(now.distinct(), "edges")
+    before = _digest(every)
+    tasks = -(-before[0] // (TASK_EDGES // 2)) or 1  # dealt round robin: none gets twice its share
+    now = cut(every.repartition(tasks).mapInArrow(contract, "a long, b long"), "edges")
+    discard(every)
+    for _ in range(MOST_ROUNDS if tasks > 1 else 0):
         # large-star: every larger neighbour of a vertex goes to the vertex's smallest neighbour
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -42,7 +92,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         before = after
     else:
-        raise RuntimeError("components did not settle")
+        if tasks > 1:
+            raise RuntimeError("components did not settle")
     stars = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     out = cut(stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct()), "components")
     discard(now)

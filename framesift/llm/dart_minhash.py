@@ -9,12 +9,13 @@ signature's value there; coordinates left empty get more darts by doubling theta
 coordinate with the probability of the (weighted) Jaccard similarity.
 
 Texts with equal sets are one class and enter once. Classes that agree in a band of coordinates meet in a
-bucket, where whole signatures are compared. A first round takes from each bucket a forest of the promising
-pairs, not all of them, and settles them by exact similarity; then only buckets that still hold several
-components are looked at again, and all their promising pairs across components are settled. So no link
-between different components is lost, and copies are never expanded into pairs. Buckets beyond ``block``
-members are split into block pairs. A pair just at 0.8 is missed with a probability of 3e-5 by the bands
-(20 of 4) and of 4e-6 by the comparison of signatures (at least 0.6 of 80 agree).
+bucket, where whole signatures are compared; a bucket gives a forest of its promising pairs, not all of them.
+What hangs together by promising pairs is a group; each text of a group of several travels there once, and
+there all exact similarities are found at once, as a product of sparse incidences with the runs that two texts
+share. A group gives stars, not pairs. So no link within a group is lost, and copies are never expanded into
+pairs. Buckets and groups beyond ``block`` members are split into block pairs. A pair just at 0.8 is missed with
+a probability of 3e-5 by the bands (20 of 4) and of 4e-6 by the comparison of signatures (at least 0.6 of 80
+agree), and then only if nothing else brings both into one group.
 
 Words are [^\\x20\\x09-\\x0D]+, unchanged. Defined cases: a text of one to four words is one run; texts without
 words and rows of null doc_id take no part (a class of their own); rows that share a doc_id are judged each by
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.components import components
+from framesift.llm.components import components, roots
 from framesift.llm.runtime import by_groups, cut, discard, flat, in_blocks, pieces, ship
 from framesift.llm.wordbytes import BLANKS, Words, mix, runs, whole
 
@@ -43,7 +44,7 @@ class Settings:
     rows: int = 4
     slack: float = 0.2  # a pair is promising if at least similarity - slack of the coordinates agree
     weighted: bool = False
-    block: int = 1024
+    block: int = 2048
 
     @property
     def coordinates(self) -> int:
@@ -155,13 +156,12 @@ def _forest(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
     return keep
 
 
-def _promising(settings: Settings, across: bool):
+def _promising(settings: Settings):
     least = int(np.ceil((settings.similarity - settings.slack) * settings.coordinates - 1e-9))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, edges in by_groups(batches, ["band", "key", "i", "j"]):
             ids, side = batch.column("id").to_numpy(), batch.column("side").to_numpy()
-            component = batch.column("component").to_numpy()
             signature = np.frombuffer(flat(batch.column("signature"))[0].tobytes(), np.uint32).reshape(batch.num_rows, -1)
             found = []
             for a, b in zip(edges[:-1], edges[1:]):
@@ -175,10 +175,7 @@ def _promising(settings: Settings, across: bool):
                 else:
                     x, y = _agree(signature[order], signature[order], least)
                     x, y = order[x[x < y]], order[y[x < y]]
-                if across:
-                    far = component[x] != component[y]
-                    x, y = x[far], y[far]
-                elif len(x) > 1:
+                if len(x) > 1:
                     place = np.empty(b - a, np.int64)
                     place[order - a] = np.arange(b - a)
                     p, q = place[x - a], place[y - a]
@@ -192,17 +189,34 @@ def _promising(settings: Settings, across: bool):
     return meet
 
 
-def similarity(row: np.ndarray, element: np.ndarray, weight: np.ndarray, pairs: int) -> np.ndarray:
-    """Weighted Jaccard of rows 2k and 2k + 1, from elements sorted by row."""
-    ends = np.searchsorted(row, np.arange(2 * pairs + 1))
-    out = np.zeros(pairs)
-    for k in range(pairs):
-        i, j, m = ends[2 * k : 2 * k + 3]
-        _, p, q = np.intersect1d(element[i:j], element[j:m], assume_unique=True, return_indices=True)
-        both = np.minimum(weight[i:j][p], weight[j:m][q]).sum()
-        every = weight[i:m].sum() - both
-        out[k] = both / every if every else 0.0
-    return out
+def linked(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, split: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the n rows whose (weighted) Jaccard similarity is at least ``least``; with ``split`` only those of a
+    row before it and one from it on. Elements are distinct in a row. Weights beyond 1 count as so many
+    elements: element e of weight 3 is (e, 0), (e, 1) and (e, 2)."""
+    if (weight > 1).any():
+        times = weight.astype(np.int64)
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        row, element = np.repeat(row, times), mix(np.repeat(element, times) + mix(nth.astype(np.uint64)) * (nth > 0))
+    total = np.bincount(row, minlength=n)
+    ids, at, often = np.unique(element, return_inverse=True, return_counts=True)
+    number = np.cumsum(often > 1) - 1
+    shared = often[at] > 1
+    row, column = row[shared], number[at[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    left, right = (slice(0, split), slice(split, n)) if split else (slice(0, n), slice(0, n))
+    both = np.zeros((left.stop - left.start, right.stop - right.start), np.float32)
+    width = max(256, (1 << 23) // max(n, 1))
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        i, j = np.searchsorted(column, [a, a + width])
+        part = np.zeros((n, width), np.float32)
+        part[row[i:j], column[i:j] - a] = 1
+        both += part[left] @ part[right].T
+    every = total[left][:, None] + total[right][None, :] - both
+    x, y = np.nonzero((both >= (least - 1e-7) * every) & (both > 0))
+    exact = both[x, y].astype(np.float64) >= least * every[x, y].astype(np.float64) - 1e-9
+    x, y = x[exact] + left.start, y[exact] + right.start
+    return x[x < y], y[x < y]
 
 
 def near_duplicates(df: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -246,55 +260,42 @@ def near_duplicates(df: DataFrame, settings: Settings = Settings(), doc_id: str
     classes = taking.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     classes = cut(classes, "classes")
 
-    def promising(component: DataFrame | None) -> DataFrame:
-        """Pairs to settle: a forest of each bucket, or with components all promising pairs across them."""
-        own = classes.select("id", "signature", "bands")
-        if component is None:
-            own = own.withColumn("component", F.col("id"))
-        else:
-            own = own.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        keys = own.select("id", "component", F.posexplode("bands").alias("band", "key"))
-        several = keys.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-        several = several.where("size > 1 AND low < high").select("band", "key", "size")
-        members = in_blocks(keys.join(several, ["band", "key"]), ["band", "key"], "id", "size", settings.block)
-        members = members.join(classes.select("id", "signature").dropDuplicates(["id"]), "id")
-        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        members = members.select("band", "key", "i", "j", "side", "id", "component", "signature")
-        members = members.repartition(tasks, "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
-        return members.mapInArrow(_promising(settings, component is not None), "a long, b long").where("a < b").distinct()
-
-    def settle(pairs: DataFrame) -> DataFrame:
-        """The pairs whose exact similarity reaches the threshold."""
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = cut(docs.join(ids, "id", "left_semi"), "texts")
-
-        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in pieces(batches, "text_a", 1 << 20):
-                n = batch.num_rows
-                both = pa.chunked_array([batch.column("text_a"), batch.column("text_b")]).combine_chunks().take(pa.array(np.arange(2 * n).reshape(2, n).T.ravel()))
-                row, run, count = shingles(Words(*flat(both), BLANKS), settings.words)
-                ok = similarity(row, run, weigh(count), n) >= settings.similarity - 1e-12
-                yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
-
-        joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        joined = joined.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-        out = cut(joined.mapInArrow(measure, "a long, b long").distinct(), "links")
-        discard(texts)
-        return out
-
-    tried = cut(promising(None), "pairs")
-    links = settle(tried)
-    component = components(links)
-    more = cut(promising(component).join(tried, ["a", "b"], "left_anti"), "pairs")
-    done = [tried, links, more]
-    if not more.isEmpty():
-        again = settle(more)
-        done += [again, component]
-        component = components(links.unionByName(again))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(members: DataFrame, keys: list[str]) -> DataFrame:
+        return members.repartition(tasks, *keys, "i", "j").sortWithinPartitions(*keys, "i", "j")
+
+    bands = classes.select("id", F.posexplode("bands").alias("band", "key"))
+    several = bands.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high"))
+    several = several.where("size > 1 AND low < high").select("band", "key", "size")
+    members = in_blocks(bands.join(several, ["band", "key"]), ["band", "key"], "id", "size", settings.block)
+    members = members.join(classes.select("id", "signature").dropDuplicates(["id"]), "id").select("band", "key", "i", "j", "side", "id", "signature")
+    promising = dealt(members, ["band", "key"]).mapInArrow(_promising(settings), "a long, b long").where("a < b").distinct()
+    group = components(promising)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, edges in by_groups(batches, ["component", "i", "j"], 256):
+            ids, side = batch.column("id").to_numpy(), batch.column("side").to_numpy()
+            for a, b in zip(edges[:-1], edges[1:]):
+                order = a + np.lexsort((ids[a:b], side[a:b]))
+                row, run, count = shingles(Words(*flat(batch.column("text").take(pa.array(order))), BLANKS), settings.words)
+                x, y = linked(row, run, weigh(count), b - a, int((side[a:b] == 0).sum()) % (b - a), settings.similarity)
+                own = ids[order]
+                rank = np.argsort(own, kind="stable")
+                place = np.empty(b - a, np.int64)
+                place[rank] = np.arange(b - a)
+                top = roots(b - a, place[x], place[y])
+                far = np.flatnonzero(top != np.arange(b - a))
+                yield pa.RecordBatch.from_arrays([pa.array(own[rank][top[far]]), pa.array(own[rank][far])], names=["a", "b"])
+
+    sizes = group.groupBy("component").agg(F.count("*").alias("size"))
+    texts = docs.join(group, "id").dropDuplicates(["id", "text"]).join(sizes, "component")
+    texts = dealt(in_blocks(texts, ["component"], "id", "size", settings.block).select("component", "i", "j", "side", "id", "text"), ["component"])
+    component = components(texts.mapInArrow(compare, "a long, b long").where("a < b"))
     found = classes.select("s1", "s2", "id").join(component, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("class_id"))
     out = taking.select("id", "s1", "s2").join(found, ["s1", "s2"]).select("id", "class_id")
     rest = signed.where("NOT has OR id IS NULL").select("id", F.col("id").alias("class_id"))
     out = out.unionByName(rest).select(F.col("id").alias("doc_id"), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
     out = cut(out, "classes")
-    discard(signed, classes, component, *done)
+    discard(signed, classes, group, component)
     return out

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.components import components
+from framesift.llm.components import components, roots
 from framesift.llm.runtime import cut, discard, ship
 
 
@@ -65,20 +65,6 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Smallest reachable index of each of n members, over the pairs (x, y)."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _bucket(ids: np.ndarray, times: np.ndarray, side: np.ndarray, vectors: np.ndarray, codes: np.ndarray, table: int, threshold: float):
     """Links of a bucket, or of a block pair: ``side`` 0 is one block and 1 the other; a lone block is all 0.
     Gives ids, links and roots of the members that have links."""
@@ -100,7 +86,7 @@ def _bucket(ids: np.ndarray, times: np.ndarray, side: np.ndarray, vectors: np.nd
     order = np.argsort(ids, kind="stable")
     back = np.empty(len(ids), np.int64)
     back[order] = np.arange(len(ids))
-    root = ids[order][_roots(len(ids), back[x], back[y])[back]]
+    root = ids[order][roots(len(ids), back[x], back[y])[back]]
     return ids[who], links[who].astype(np.int64), root[who]
 
 
