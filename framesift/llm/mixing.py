@@ -10,7 +10,8 @@ The rates are fitted by projected gradient. Since the gradient of a document dep
 alone, rates keep the form r = max(0, 1 - P . v): what the steps so far add up to is one number a domain.
 Each step is one aggregation over the cells of equal measures (pre-aggregated from the documents): the totals,
 and the totals' derivatives over the documents whose rate is above 0, which scale the step; a step that does
-not help is halved. Nothing but these few numbers, the counts of measures and the markers reach the driver.
+not help is halved. Nothing but these few numbers, the counts of measures and the markers reach the driver. The classifier learns
+from a bounded sample of labelled rows (``Settings.sample``); totals and cells cover all documents.
 
 Defined cases: null text has no tokens; without labelled rows every document has rate 1; domains without
 labelled rows drop out and the other targets are scaled to sum to 1; targets that can't be met are approached as
@@ -36,6 +37,7 @@ BUCKETS = 16
 class Settings:
     markers: int = 256
     least_rows: int = 20  # labelled rows that a marker stands in, at least
+    sample: int = 20_000  # labelled rows that the classifier learns from, by a hash of doc_id
     steps: int = 40
     tolerance: float = 1e-9
 
@@ -77,23 +79,27 @@ def _measures(df: DataFrame, text: str, markers: list[int]) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, domain: str, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> Classifier:
-    """Learn from all labelled rows. ``domain``: SQL for the name of a label row's domain (null: teaches nothing).
-    Texts are not shuffled: labels meet measures and hashes of distinct words."""
-    known = labels.select(F.col(doc_id).alias("_id"), F.expr(domain).alias("domain")).where("domain IS NOT NULL AND _id IS NOT NULL").dropDuplicates(["_id"])
-    rows = {r["domain"]: r["n"] for r in known.join(docs.select(F.col(doc_id).alias("_id")), "_id").groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    """Learn from a bounded sample of labelled rows, drawn by a hash of ``doc_id``. ``domain``: SQL for the name of a
+    label row's domain (null: teaches nothing). The sample's ids are broadcast (``sample`` rows at most); texts and
+    words of other documents are not looked at, and no text is shuffled."""
+    known = labels.select(F.col(doc_id).alias("_id"), F.expr(domain).alias("domain")).where("domain IS NOT NULL AND _id IS NOT NULL")
+    known = known.groupBy("_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64(F.lit(43), "_id"), "_id").limit(settings.sample)
+    known = cut(known, "known")
+    drawn = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(known), "_id")
+    rows = {r["domain"]: r["n"] for r in drawn.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     domains = sorted(rows)
     if not domains:
         return Classifier([], [], [], [])
     every = sum(rows.values())
-    words = docs.select(F.col(doc_id).alias("_id"), F.explode(F.transform(F.array_distinct(_words(text)), lambda w: F.xxhash64(w))).alias("w"))
-    counted = words.join(known, "_id").groupBy("w").agg(F.count("*").alias("n"), *(F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(domains)))
+    words = drawn.select("domain", F.explode(F.transform(F.array_distinct(_words("_t")), lambda w: F.xxhash64(w))).alias("w"))
+    counted = words.groupBy("w").agg(F.count("*").alias("n"), *(F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(domains)))
     z = F.greatest(F.lit(0.0), *(_z(F.col(f"n{k}"), F.col("n"), rows[d], every) for k, d in enumerate(domains)))
     counted = counted.where(F.col("n") >= settings.least_rows).select("w", z.alias("z")).where(F.col("z") > 4)
     markers = sorted(r["w"] for r in counted.orderBy(F.desc("z"), "w").limit(settings.markers).collect()) if len(domains) > 1 else []
 
-    measured = _measures(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")), "_t", markers).select("_id", "_m")
-    counts = measured.join(known, "_id").select("domain", F.posexplode("_m").alias("measure", "bucket")).groupBy("domain", "measure", "bucket").agg(F.count("*").alias("n"))
+    counts = _measures(drawn, "_t", markers).select("domain", F.posexplode("_m").alias("measure", "bucket")).groupBy("domain", "measure", "bucket").agg(F.count("*").alias("n"))
     found = {(r["domain"], r["measure"], r["bucket"]): r["n"] for r in counts.collect()}
+    discard(known)
     logs = [[[float(np.log((found.get((d, m, b), 0) + 0.5) / (rows[d] + 0.5 * BUCKETS))) for b in range(BUCKETS)] for m in range(8)] for d in domains]
     return Classifier(domains, [float(np.log(rows[d] / every)) for d in domains], logs, markers)
 
@@ -160,19 +166,24 @@ def fit(cells: DataFrame, targets: np.ndarray, settings: Settings = Settings())
 
 
 def mix_to_targets(docs: DataFrame, labels: DataFrame, domain: str, targets: dict[str, float], settings: Settings = Settings(),
-                   whole: str | None = None, seed: int = 41, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+                   whole: str | None = None, seed: int = 41, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
     """``docs`` with ``n_tokens`` (words), ``p_<domain>`` for each target, ``rate`` and ``copies`` (the rate
     rounded up or down by a hash of doc_id, so that its expectation is the rate). ``whole`` names a domain: all
-    rates are then scaled alike, so that no document that more likely than not is of it has one below 1."""
+    rates are then scaled alike, so that no document that more likely than not is of it has one below 1. Without
+    text in the result texts are read once for it, else twice."""
     model = train(docs, labels, domain, settings, doc_id, text)
     names = [d for d in model.domains if targets.get(d, 0) > 0 or d in targets]
     out = docs.drop("n_tokens", "rate", "copies", *(f"p_{d}" for d in targets))
     if not names:
-        out = _measures(out, text, []).withColumn("n_tokens", F.col("_tokens")).drop("_m", "_tokens")
+        out = _measures(out, text, []).withColumn("n_tokens", F.col("_tokens")).drop("_m", "_tokens", *([] if with_text else [text]))
         return out.withColumns({**{f"p_{d}": F.lit(None).cast("double") for d in sorted(targets)}, "rate": F.lit(1.0), "copies": F.lit(1).cast("long")})
     goal = np.array([float(targets.get(d, 0)) for d in model.domains])
     goal = goal / goal.sum()
-    cells = _measures(docs.select(text), text, model.markers).groupBy("_m").agg(F.sum("_tokens").alias("_tokens"))
+    if with_text:
+        measured = out = _measures(out, text, model.markers)
+    else:
+        measured = out = cut(_measures(out, text, model.markers).drop(text), "measured")
+    cells = measured.groupBy("_m").agg(F.sum("_tokens").alias("_tokens"))
     cells = cut(cells.withColumn("_p", _posterior(model)).select("_p", "_tokens"), "cells")
     v = fit(cells, goal, settings)
     scale = 1.0
@@ -180,7 +191,7 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, domain: str, targets: dic
         likely = cells.where(F.col("_p")[model.domains.index(whole)] >= 0.5).agg(F.min(_rate(v)).alias("r")).first()["r"]
         scale = 1 / likely if likely else 1.0
     discard(cells)
-    out = _measures(out, text, model.markers).withColumn("_p", _posterior(model))
+    out = out.withColumn("_p", _posterior(model))
     out = out.withColumn("rate", _rate(v) * scale).withColumn("n_tokens", F.col("_tokens"))
     out = out.withColumns({f"p_{d}": F.col("_p")[model.domains.index(d)] if d in model.domains else F.lit(0.0) for d in sorted(targets)})
     chance = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), F.lit(1 << 40)) / float(1 << 40)

@@ -32,7 +32,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framesift.llm import mixing
 
     docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
-    return mixing.mix_to_targets(docs.select("doc_id", "text"), labels, QUALITY, TARGETS).drop("text")
+    return mixing.mix_to_targets(docs.select("doc_id", "text"), labels, QUALITY, TARGETS, with_text=False)
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
