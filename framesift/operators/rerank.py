@@ -138,11 +138,12 @@ class Rerank:
     """The whole stage, lazily: ``candidates``, ``coarse``, ``centers``, ``fine``, ``ranked``, ``selected``, ``stats``.
 
     ``score`` adds reranker_score. ``exists`` (video_id) names the videos that can be read: others get no frames,
-    but may come in as a fallback. With ``keep`` (for example ``cache``) the scored frames are computed once."""
+    but may come in as a fallback. With ``keep`` (``DataFrame.persist``, say)
+    candidates and scored frames, which later steps read several times, are computed once."""
 
     def __init__(self, candidates: DataFrame, shots: DataFrame, score: Scorer, exists: DataFrame | None = None, candidate_limit: int = 500, fine_top_k: int = 30,
                  window_ms: int = 750, fine_fps: float = 8.0, coarse_fps: float = 1.0, most: int = 10, keep: Callable[[DataFrame], DataFrame] = lambda df: df):
-        self.candidates = with_bounds(unique_shots(candidates, candidate_limit), shots)
+        self.candidates = keep(with_bounds(unique_shots(candidates, candidate_limit), shots))
         readable = self.candidates if exists is None else self.candidates.join(exists.select("video_id").distinct(), "video_id", "left_semi")
         self.coarse = keep(score(coarse_frames(readable, coarse_fps)))
         self.centers = fine_centers(self.coarse, fine_top_k)

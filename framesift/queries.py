@@ -112,7 +112,7 @@ def _rerank(spark: SparkSession, sf_dir: str, most: int = MOST) -> rerank.Rerank
     null = F.lit(None).cast("long")
     candidates = found.select("task_id", "video_id", "shot_id", "rank", "score", "embedding_score", null.alias("frame_ms"), null.alias("shot_start_ms"), null.alias("shot_end_ms"))
     known = _shots(spark, sf_dir).withColumnsRenamed({"shot_start_ms": "start_ms", "shot_end_ms": "end_ms"})
-    return rerank.Rerank(candidates, known, _hash_score, _readable(spark, sf_dir), LIMIT, CENTERS, WINDOW_MS, FINE_FPS, 1.0, most)
+    return rerank.Rerank(candidates, known, _hash_score, _readable(spark, sf_dir), LIMIT, CENTERS, WINDOW_MS, FINE_FPS, 1.0, most, DataFrame.persist)
 
 
 def _rerank_sql(last: str, most: int = MOST) -> str:
