@@ -175,7 +175,8 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, domain: str, targets: dic
     rounded up or down by a hash of doc_id, so that its expectation is the rate). ``whole`` names a domain: all
     rates are then scaled alike, so that no document that more likely than not is of it has one below 1. Without
     text in the result texts are read once for it, else twice."""
-    model = train(docs, labels, domain, settings, doc_id, text)
+    listed = ", ".join(f"'{d}'" for d in sorted(targets))  # labels of domains without a target teach nothing
+    model = train(docs, labels, f"CASE WHEN ({domain}) IN ({listed}) THEN ({domain}) END", settings, doc_id, text)
     names = [d for d in model.domains if targets.get(d, 0) > 0 or d in targets]
     out = docs.drop("n_tokens", "rate", "copies", *(f"p_{d}" for d in targets))
     if not names:
