@@ -17,7 +17,7 @@ from framesift.llm import bpe, dart_minhash, mixing, phrase_dedup, toxicity
 from framesift.llm.queries import QUALITY
 from framesift.llm.runtime import cut, table
 
-#: Shares of tokens wanted after mixing. Rates are scaled so that documents likely to be good all stay.
+#: Shares of tokens wanted after mixing. Documents likely to be good all stay, others are sampled to these shares.
 TARGETS = {"good": 0.9, "poor": 0.1}
 REJECT = 0.5
 

@@ -10,12 +10,13 @@ The rates are fitted by projected gradient. Since the gradient of a document dep
 alone, rates keep the form r = max(0, 1 - P . v): what the steps so far add up to is one number a domain.
 Each step is one aggregation over the cells of equal measures (pre-aggregated from the documents): the totals,
 and the totals' derivatives over the documents whose rate is above 0, which scale the step; a step that does
-not help is halved. Nothing but these few numbers, the counts of measures and the markers reach the driver. The classifier learns
+not help is halved. Where one domain is to stay whole, ``fit_shares`` does the same for shares of what is kept, with rates
+of 0 to 1. Nothing but these few numbers, the counts of measures and the markers reach the driver. The classifier learns
 from a bounded sample of labelled rows (``Settings.sample``); totals and cells cover all documents.
 
 Defined cases: null text has no tokens; without labelled rows every document has rate 1; domains without
 labelled rows drop out and the other targets are scaled to sum to 1; targets that can't be met are approached as
-far as r >= 0 allows; repeated rows each get their row (and, as copies are drawn by doc_id, the same number);
+far as the bounds of r allow; repeated rows each get their row (and, as copies are drawn by doc_id, the same number);
 null doc_id is a key like any other; an empty table gives no rows. Columns named like the output are replaced."""
 
 from __future__ import annotations
@@ -169,12 +170,68 @@ def fit(cells: DataFrame, targets: np.ndarray, settings: Settings = Settings())
     return v
 
 
+def _share_rate(v: np.ndarray, targets: np.ndarray, held: int | None) -> Column:
+    rate = F.lit(1.0)
+    for k, (x, goal) in enumerate(zip(v.tolist(), targets.tolist())):
+        rate = rate - (F.col("_p")[k] - goal) * x
+    rate = F.greatest(F.lit(0.0), F.least(F.lit(1.0), rate))
+    return rate if held is None else F.when(F.col("_p")[held] >= 0.5, 1.0).otherwise(rate)
+
+
+def fit_shares(cells: DataFrame, targets: np.ndarray, held: int | None, settings: Settings = Settings()) -> np.ndarray:
+    """Like ``fit``, for rates of 0 to 1 under which the domains' shares of what is kept are the targets:
+    r = min(1, max(0, 1 - (P - targets) . v)), and 1 where P of the domain ``held`` is at least 0.5. The missed
+    totals are the gradient of a convex function of v, which Newton steps lower."""
+    k = len(targets)
+    pairs = [(a, b) for a in range(k) for b in range(a, k)]
+
+    def totals(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+        rate, t = _share_rate(v, targets, held), F.col("_tokens")
+        q = [F.col("_p")[a] - float(targets[a]) for a in range(k)]
+        s = F.lit(0.0)
+        for x, part in zip(v.tolist(), q):
+            s = s + part * x
+        fixed = F.lit(False) if held is None else F.col("_p")[held] >= 0.5
+        free = ~fixed & (s >= 0) & (s <= 1)
+        # the integral of -rate over s
+        height = F.when(fixed | (s < 0), -s).when(s <= 1, s * s / 2 - s).otherwise(-0.5)
+        row = cells.agg(
+            *(F.sum(rate * t * q[a]) for a in range(k)),
+            *(F.sum(F.when(free, t * q[a] * q[b]).otherwise(0.0)) for a, b in pairs),
+            F.sum(t * height), F.sum(t),
+        ).first()
+        every = max(float(row[-1] or 0), 1.0)
+        gram = np.zeros((k, k))
+        for (a, b), x in zip(pairs, row[k:-2]):
+            gram[a, b] = gram[b, a] = (x or 0) / every
+        return np.array([(x or 0) / every for x in row[:k]]), gram, (row[-2] or 0) / every, float(row[-1] or 0)
+
+    v = np.zeros(k)
+    error, gram, height, every = totals(v)
+    step = 1.0
+    for _ in range(settings.steps if every else 0):
+        if np.abs(error).max() < settings.tolerance or step < 1e-12:
+            break
+        towards = np.linalg.solve(gram + 1e-6 * np.eye(k), error)
+        new = v + step * towards
+        new_error, new_gram, new_height, _ = totals(new)
+        if new_height <= height - 1e-4 * step * float(error @ towards):
+            still = np.abs(new_error - error).max() < settings.tolerance  # all rates are at their bounds
+            v, error, gram, height, step = new, new_error, new_gram, new_height, min(1.0, 4 * step)
+            if still:
+                break
+        else:
+            step /= 4
+    return v
+
+
 def mix_to_targets(docs: DataFrame, labels: DataFrame, domain: str, targets: dict[str, float], settings: Settings = Settings(),
                    whole: str | None = None, seed: int = 41, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
     """``docs`` with ``n_tokens`` (words), ``p_<domain>`` for each target, ``rate`` and ``copies`` (the rate
-    rounded up or down by a hash of doc_id, so that its expectation is the rate). ``whole`` names a domain: all
-    rates are then scaled alike, so that no document that more likely than not is of it has one below 1. Without
-    text in the result texts are read once for it, else twice."""
+    rounded up or down by a hash of doc_id, so that its expectation is the rate). ``whole`` names a domain: each
+    document that is as likely as not of it then has rate 1, others one of 0 to 1 (``fit_shares``), so that no row
+    has to be repeated for the targets; if tokens of the others are too few, all rows are kept. Without text in the
+    result texts are read once for it, else twice."""
     listed = ", ".join(f"'{d}'" for d in sorted(targets))  # labels of domains without a target teach nothing
     model = train(docs, labels, f"CASE WHEN ({domain}) IN ({listed}) THEN ({domain}) END", settings, doc_id, text)
     names = [d for d in model.domains if targets.get(d, 0) > 0 or d in targets]
@@ -190,14 +247,14 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, domain: str, targets: dic
         measured = out = cut(_measures(out, text, model.markers).drop(text), "measured")
     cells = measured.groupBy("_m").agg(F.sum("_tokens").alias("_tokens"))
     cells = cut(cells.withColumn("_p", _posterior(model)).select("_p", "_tokens"), "cells")
-    v = fit(cells, goal, settings)
-    scale = 1.0
-    if whole in model.domains:
-        likely = cells.where(F.col("_p")[model.domains.index(whole)] >= 0.5).agg(F.min(_rate(v)).alias("r")).first()["r"]
-        scale = 1 / likely if likely else 1.0
+    if whole is None:
+        rate = _rate(fit(cells, goal, settings))
+    else:
+        held = model.domains.index(whole) if whole in model.domains else None
+        rate = _share_rate(fit_shares(cells, goal, held, settings), goal, held)
     discard(cells)
     out = out.withColumn("_p", _posterior(model))
-    out = out.withColumn("rate", _rate(v) * scale).withColumn("n_tokens", F.col("_tokens"))
+    out = out.withColumn("rate", rate).withColumn("n_tokens", F.col("_tokens"))
     out = out.withColumns({f"p_{d}": F.col("_p")[model.domains.index(d)] if d in model.domains else F.lit(0.0) for d in sorted(targets)})
     chance = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), F.lit(1 << 40)) / float(1 << 40)
     copies = F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)

@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from framesift.llm import mixing
 from framesift.llm.queries import QUALITY, TARGETS, op2_mixing
 
@@ -52,3 +53,36 @@ def test_edges(spark):
     none = mixing.mix_to_targets(docs, labels.limit(0), QUALITY, {"good": 1.0}).collect()
     assert [(x.rate, x.copies) for x in none] == [(1.0, 1)] * len(rows)
     assert mixing.mix_to_targets(docs.limit(0), labels, QUALITY, {"good": 1.0}).count() == 0
+
+
+def kept_shares(df, goal, held):
+    """Rates, P(good) and expected shares of what is kept."""
+    v = mixing.fit_shares(df, goal, held)
+    rows = df.select(mixing._share_rate(v, goal, held).alias("r"), F.col("_p")[0].alias("p"), "_tokens").toPandas()
+    weight = rows.r * rows._tokens
+    return rows.r.to_numpy(), rows.p.to_numpy(), (weight * rows.p).sum() / weight.sum()
+
+
+def test_kept_tokens_meet_the_targets(spark):
+    goal = np.array([0.9, 0.1])
+    df = spark.createDataFrame([([1.0, 0.0], 70.0), ([0.0, 1.0], 30.0), ([0.5, 0.5], 1e-6)], "_p array<double>, _tokens double")
+    r, p, good = kept_shares(df, goal, 0)
+    assert abs(good - 0.9) < 1e-6 and (r[p >= 0.5] == 1).all() and abs(r[p == 0][0] - 0.7 / 9 / 0.3) < 1e-5
+    few = spark.createDataFrame([([1.0, 0.0], 97.0), ([0.0, 1.0], 3.0)], "_p array<double>, _tokens double")
+    assert (kept_shares(few, goal, 0)[0] == 1).all()  # too few poor tokens: nothing is thinned
+    three = np.random.default_rng(1).dirichlet([0.3, 0.3, 0.3], 400)
+    df = spark.createDataFrame([(x.tolist(), 1.0) for x in three], "_p array<double>, _tokens double")
+    goal = np.array([0.5, 0.3, 0.2])
+    v = mixing.fit_shares(df, goal, 0)
+    r = np.array([x.r for x in df.select(mixing._share_rate(v, goal, 0).alias("r")).collect()])
+    assert np.allclose(r @ three / r.sum(), goal, atol=1e-6) and (r[three[:, 0] >= 0.5] == 1).all() and ((r >= 0) & (r <= 1)).all()
+
+
+def test_stage_output_has_the_target_shares(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = mixing.mix_to_targets(docs, labels, QUALITY, corpus_pipeline.TARGETS, whole="good").drop("text").toPandas().set_index("doc_id")
+    kept = [x.doc_id for x in corpus_pipeline.mix(spark, docs, sf).select("doc_id").collect()]
+    assert len(set(kept)) == len(kept) and set(rows[rows.p_good >= 0.5].index) <= set(kept)
+    rows = rows.loc[kept]
+    assert abs((rows.n_tokens * rows.p_good).sum() / rows.n_tokens.sum() - 0.9) < 0.005
