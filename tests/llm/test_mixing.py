@@ -86,3 +86,21 @@ def test_stage_output_has_the_target_shares(spark):
     assert len(set(kept)) == len(kept) and set(rows[rows.p_good >= 0.5].index) <= set(kept)
     rows = rows.loc[kept]
     assert abs((rows.n_tokens * rows.p_good).sum() / rows.n_tokens.sum() - 0.9) < 0.005
+
+
+def test_soft_posteriors_keep_likely_documents_whole(spark, monkeypatch):
+    likely = [0.02, 0.3, 0.5, 0.55, 0.6, 0.7, 0.8, 0.9, 1.0]  # P(good) by the logarithm of the length
+    p = F.element_at(F.array(*map(F.lit, likely)), F.col("_m")[0] + 1)
+    monkeypatch.setattr(mixing, "train", lambda *a: mixing.Classifier(["good", "poor"], [], [], []))
+    monkeypatch.setattr(mixing, "_posterior", lambda model: F.array(p, 1 - p))
+    rows = [(f"{b}-{i}", " ".join(["w"] * 2**b)) for b in range(9) for i in range(2 ** (8 - b))]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    for good in (0.9, 0.7):
+        got = mixing.mix_to_targets(docs, docs.selectExpr("doc_id", "1 AS quality"), "quality", {"good": good, "poor": 1 - good}, whole="good").collect()
+        assert all(x.rate == 1 and x.copies == 1 for x in got if x.p_good >= 0.5)
+        assert all(0 <= x.rate <= 1 for x in got)
+        share = sum(x.rate * x.n_tokens * x.p_good for x in got) / sum(x.rate * x.n_tokens for x in got)
+        if good == 0.7:
+            assert abs(share - 0.7) < 1e-6
+        else:  # out of reach while likely documents stay: all others go
+            assert all(x.rate == 0 for x in got if x.p_good < 0.5)
