@@ -5,7 +5,9 @@ between the nearest signs and the orthogonal (Procrustes) rotation towards them.
 dealt out to tables. Vectors with equal bits in a table meet in one of its buckets, and there the original
 vectors decide (cosine in double precision). The bits a table takes follow the logarithm of the number of
 vectors, and the number of tables follows from the recall wanted for two vectors just at the threshold,
-so buckets stay small and recall the same at every size.
+so buckets stay small and recall the same at every size. How often such a pair's bits agree is measured on the
+sample about its mean: where vectors share a direction, pairs are wider apart about the mean, and more tables,
+narrower ones or (all vectors close together) a comparison of all pairs make up for it.
 
 A pair counts in the first table where its bits are equal, so counts need no list of pairs: a bucket gives
 each member its number of links and the smallest member it hangs together with. Equal vectors are one row
@@ -50,7 +52,7 @@ def itq(sample: np.ndarray, bits: int, seed: int, rounds: int = 30) -> tuple[np.
             u, _, vt = np.linalg.svd(reduced.T @ signs)
             rotation = u @ vt
         out.append(axes @ rotation)
-    return mean, np.concatenate(out, 1)[:, :bits]
+    return mean, np.concatenate([np.zeros((d, 0)), *out], 1)[:, :bits]
 
 
 def plan(n: int, threshold: float, recall: float, widest: int = 28) -> tuple[int, int]:
@@ -60,6 +62,54 @@ def plan(n: int, threshold: float, recall: float, widest: int = 28) -> tuple[int
     return width, max(1, math.ceil(math.log(1 - recall) / math.log(1 - same))) if same < 1 else 1
 
 
+def _at_threshold(sample: np.ndarray, threshold: float, seed: int, most: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of ``sample`` less its mean, and for each one as far from the mean whose distance is that of unit
+    vectors with a cosine of ``threshold``, in the direction of another vector of the sample."""
+    rng = np.random.default_rng(seed)
+    centred = sample - sample.mean(0)
+    x = centred[rng.permutation(len(centred))[:most]]
+    square = np.maximum((x**2).sum(1, keepdims=True), 1e-12)
+    side = centred[rng.integers(0, len(centred), len(x))] + 1e-6 * rng.normal(size=x.shape)
+    side -= (side * x).sum(1, keepdims=True) / square * x
+    side *= np.sqrt(square) / np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-12)
+    cosine = np.clip(1 - (1 - threshold) / square, 0, 1)
+    return x, cosine * x + np.sqrt(1 - cosine**2) * side
+
+
+def measured_plan(sample: np.ndarray, n: int, threshold: float, recall: float, seed: int, many: int = 64, row: int = 256) -> tuple[int, int, tuple[np.ndarray, np.ndarray]]:
+    """Bits a table, tables, and what ITQ learned for them. The width is that of ``plan``; if ``recall`` takes more
+    than ``many`` tables, the one of least cost, where a row in a table costs as much as ``row`` comparisons. Width 0
+    compares all pairs."""
+    width, tables = plan(n, threshold, recall)
+    x, y = _at_threshold(sample, threshold, seed)
+    projection = itq(sample, max(width * tables, 4 * sample.shape[1]), seed)[1]
+    agree = ((x @ projection >= 0) == (y @ projection >= 0)).mean(1)
+
+    def enough(w: int) -> int:
+        found = lambda t: np.mean(1 - (1 - agree**w) ** t) >= recall
+        high = 1
+        while not found(high) and high < 1 << 20:
+            high *= 2
+        low = high // 2
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (low, middle) if found(middle) else (middle, high)
+        return high
+
+    tables = max(tables, enough(width))
+    if tables > many:
+        width = min(range(width, -1, -1), key=lambda w: enough(w) * (row + n / 2**w))
+        tables = enough(width)
+    while True:
+        learned = itq(sample, width * tables, seed)
+        same = ((x @ learned[1] >= 0) == (y @ learned[1] >= 0)).reshape(len(x), tables, width).all(2).any(1)
+        if same.mean() >= recall:
+            return width, tables, learned
+        tables = math.ceil(1.1 * tables)
+        if tables > 2 * many * max(width, 1):
+            width, tables = 0, 1
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
@@ -104,10 +154,9 @@ def link(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", thres
     good = good.where(F.size("v") == d).withColumn("v", F.transform("v", lambda x: x.cast("float") + F.lit(0.0).cast("float")))
     distinct = cut(good.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("times")), "vectors")
     n = distinct.count()
-    width, tables = plan(n, threshold, recall)
     drawn = distinct.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).select("v").toArrow()["v"].combine_chunks()
     drawn = _matrix(drawn)
-    learned = itq(drawn / np.linalg.norm(drawn, axis=1, keepdims=True), width * tables, seed)
+    width, tables, learned = measured_plan(drawn / np.linalg.norm(drawn, axis=1, keepdims=True), n, threshold, recall, seed)
     shared = spark.sparkContext.broadcast(learned)  # dimension x bits
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

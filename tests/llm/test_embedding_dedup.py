@@ -42,6 +42,21 @@ def test_recall_just_at_the_threshold(spark):
     assert 0.95 * n.sum() <= found <= n.sum()
 
 
+def test_recall_of_vectors_off_centre(spark):
+    """All vectors share a direction: pairs are wider apart about the mean than about the origin."""
+    rng, d, n = np.random.default_rng(3), 64, 1000
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    for common in (0.5, 0.7):
+        a, b = unit(rng.normal(size=(n, d))), rng.normal(size=(n, d))
+        c = (0.903 - common) / (1 - common)
+        b = c * a + np.sqrt(1 - c**2) * unit(b - (a * b).sum(1, keepdims=True) * a)
+        pairs = unit(np.sqrt(common) * unit(rng.normal(size=(1, d))) + np.sqrt(1 - common) * np.concatenate([a, b]))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(pairs)], "vec_id long, embedding array<double>")
+        found = sum(x.n_links for x in ed.link(df).collect())
+        links, _ = brute(list(range(2 * n)), pairs.astype(np.float32).astype(float), 0.9)
+        assert links.sum() > n / 2 and 0.98 * links.sum() <= found <= links.sum(), (common, found, links.sum())
+
+
 def test_large_groups_split_into_blocks(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=16)
