@@ -456,6 +456,29 @@ def validate_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.result_faults(results, spark.range(31).select(F.concat(F.lit("v"), "id").alias("video_id")))
 
 
+@query("""WITH e AS (SELECT vec_id, vec_id // 10 - CASE WHEN vec_id // 10 % 19 = 18 THEN 1 ELSE 0 END AS task FROM embeddings),
+r AS (SELECT 'T' || task AS task_id, row_number() OVER (PARTITION BY task ORDER BY vec_id) + CASE WHEN task % 13 = 2 THEN 1 ELSE 0 END AS rank,
+  CASE WHEN task % 5 = 0 THEN vec_id // 3 ELSE vec_id END AS video, vec_id % 41 = 0 AS blank, CASE WHEN vec_id % 53 = 0 THEN -1 ELSE vec_id END AS frame_ms FROM e),
+v AS (SELECT *, CASE WHEN blank THEN '' ELSE 'v' || video END AS video_id FROM r)
+SELECT task_id, 'more than 10 results' AS fault FROM v GROUP BY task_id HAVING count(*) > 10
+UNION SELECT task_id, 'ranks are not 1 to n' FROM v GROUP BY task_id HAVING min(rank) <> 1 OR max(rank) <> count(*)
+UNION SELECT task_id, 'invalid video_id' FROM v WHERE video_id = ''
+UNION SELECT task_id, 'duplicate video_id' FROM v GROUP BY task_id, video_id HAVING count(*) > 1
+UNION SELECT task_id, 'frame_ms is negative' FROM v WHERE frame_ms < 0
+UNION SELECT task_id, 'unknown video_id' FROM v WHERE video_id <> '' AND video % 29 = 7""")
+def validate_submission_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as results, ten a task (every 19th task twenty); every 29th video is unknown."""
+    task = sampling.div(F.col("vec_id"), 10) - F.when(sampling.div(F.col("vec_id"), 10) % 19 == 18, 1).otherwise(0)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", task.alias("task"))
+    rank = F.row_number().over(Window.partitionBy("task").orderBy("vec_id")).cast("long") + F.when(F.col("task") % 13 == 2, 1).otherwise(0)
+    number = F.when(F.col("task") % 5 == 0, sampling.div(F.col("vec_id"), 3)).otherwise(F.col("vec_id"))
+    video = F.when(F.col("vec_id") % 41 == 0, F.lit("")).otherwise(F.concat(F.lit("v"), number))
+    frame = F.when(F.col("vec_id") % 53 == 0, F.lit(-1).cast("long")).otherwise(F.col("vec_id"))
+    results = rows.select(F.concat(F.lit("T"), "task").alias("task_id"), rank.alias("rank"), video.alias("video_id"), frame.alias("frame_ms"))
+    known = rows.select(F.explode(F.array("vec_id", sampling.div(F.col("vec_id"), 3))).alias("n")).distinct().where("n % 29 <> 7")
+    return validate.result_faults(results, known.select(F.concat(F.lit("v"), "n").alias("video_id")))
+
+
 @query("""WITH t AS (SELECT CASE item_id % 9 WHEN 0 THEN '' WHEN 1 THEN 'same' ELSE CAST(item_id AS VARCHAR) END AS task_id, CASE WHEN item_id % 7 = 0 THEN '' ELSE text END AS description FROM benchmark)
 SELECT task_id, 'task without task_id' AS fault FROM t WHERE task_id = ''
 UNION ALL SELECT task_id, 'duplicate task_id' FROM t WHERE task_id <> '' GROUP BY task_id HAVING count(*) > 1
