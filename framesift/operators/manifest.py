@@ -14,13 +14,32 @@ def sample_shots(shots: DataFrame, fps: float, start: str = "shot_start_ms", end
     return shots.select("*", F.posexplode(sample_frame_times(start, end, fps)).alias("sample_pos", "_s")).select("*", "_s.frame_ms", "_s.sample").drop("_s")
 
 
+#: Ranges that rows without a group are numbered in, and rows that are looked at to place their bounds.
+RANGES, SAMPLE = 256, 8192
+
+
+def _range_of(df: DataFrame, keys: list[Column]) -> Column:
+    """The range that a row belongs to, from its keys alone: how many of some bounds it reaches. The bounds are
+    literals, rows of ``df`` drawn by a hash, so a row's range is the same wherever and however often it is read."""
+    row = df.select(*(k.alias(f"k{i}") for i, k in enumerate(keys)))
+    drawn = row.orderBy(F.xxhash64(*row.columns)).limit(SAMPLE).orderBy(*row.columns).collect()
+    every = max(1, len(drawn) // RANGES)
+    bounds = list(dict.fromkeys(tuple(r) for r in drawn[every::every]))
+    if not bounds:
+        return F.lit(0)
+    kinds = [f.dataType for f in row.schema.fields]
+    literal = F.array(*(F.struct(*(F.lit(x).cast(t).alias(f"k{i}") for i, (x, t) in enumerate(zip(b, kinds)))) for b in bounds))
+    own = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)))
+    return F.size(F.filter(literal, lambda b: b <= own))
+
+
 def number_rows(df: DataFrame, order: list[Column | str], name: str = "source_index", group: str | None = None) -> DataFrame:
     """``df`` with 0, 1, ... in ``order``, without a window over all rows: rows are ranked within groups (of
     ``group``, whose order is the first of ``order``; else ranges of ``order``), and groups get their first number
-    from the groups' counts before them, a table with one row a group."""
+    from the groups' counts before them, a table with one row a group. Null keys come first."""
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
     if group is None:
-        df = df.repartitionByRange(*keys).withColumn("_g", F.spark_partition_id())
+        df = df.withColumn("_g", _range_of(df, keys))
         group = "_g"
     counts = df.groupBy(group).agg(F.count("*").alias("_n"))
     starts = counts.select(F.col(group).alias("_k"), (F.sum("_n").over(Window.orderBy(group)) - F.col("_n")).alias("_from"))

@@ -1,5 +1,6 @@
 """Small control files on the file system of their path: configurations, cursors, submissions. They are written
-to a temporary name and renamed, so a reader sees the old file or the new one."""
+to a temporary name and renamed over the old file in one step, so a reader sees the old file or the new one, and a
+crash loses neither."""
 
 from __future__ import annotations
 
@@ -35,16 +36,17 @@ def read_bytes(spark: SparkSession, path: str) -> bytes | None:
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     jvm, where, fs = _file(spark, path)
     part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    options = jvm.org.apache.hadoop.fs.Options
+    replace = spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
+    replace[0] = getattr(options, "Rename").OVERWRITE
     try:
         stream = fs.create(part, True)
         try:
             stream.write(bytearray(data))
         finally:
             stream.close()
-        if fs.exists(where):
-            fs.delete(where, False)
-        if not fs.rename(part, where):
-            raise OSError(f"cannot write {path}")
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(where).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(fs.makeQualified(part), fs.makeQualified(where), replace)
     finally:
         fs.delete(part, False)
 

@@ -124,6 +124,30 @@ def test_candidates_fall_back_and_the_last_row_counts(spark, tmp_path):
     assert got == [("a", 1, "new", 1), ("a", 2, "n2", 2), ("b", 1, "r", 9)]
 
 
+def test_input_order_over_files(spark, tmp_path):
+    """A large file first, then small ones: packing by size must not change which row is the last."""
+    pad = "x" * 2000
+    for k, n in enumerate((3, 400, 2, 1)):
+        rows = [{"task_id": f"t{k}-{i}", "description": f"{pad}{k}"} for i in range(n)]
+        (tmp_path / f"tasks{k}.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    tasks = tables.load_tasks(spark, str(tmp_path / "tasks*.jsonl")).collect()
+    want = [f"t{k}-{i}" for k, n in enumerate((3, 400, 2, 1)) for i in range(n)]
+    assert [x.task_id for x in sorted(tasks, key=lambda x: x.task_pos)] == want
+    for k, name in enumerate(("b", "a")):
+        (tmp_path / f"{name}.cand").write_text("\n".join(json.dumps({"task_id": "a", "candidates": [{"video_id": f"v{k}{i}", "shot_id": 1}], "more": pad}) for i in range(5 - 4 * k)))
+    paths = [str(tmp_path / "b.cand"), str(tmp_path / "a.cand")]
+    assert [x.video_id for x in tables.load_candidates(spark, paths).collect()] == ["v10"]
+    assert [x.video_id for x in tables.load_candidates(spark, paths[::-1]).collect()] == ["v04"]
+
+
+def test_control_files_are_replaced_in_one_step(spark, tmp_path):
+    path = str(tmp_path / "deep" / "state.json")
+    for k in range(3):
+        control.write(spark, path, {"k": k})
+        assert control.read(spark, path) == {"k": k}
+    assert [x.name for x in (tmp_path / "deep").iterdir() if not x.name.startswith(".")] == ["state.json"]
+
+
 def test_ranked_frames_are_replaced_by_task(spark, tmp_path):
     df = spark.createDataFrame([("a", 1, 5), ("a", 700, 6), ("b", 1, 7)], "task_id string, rank long, frame_ms long")
     for _ in range(2):
