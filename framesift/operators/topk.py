@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +15,17 @@ from framesift.functions import vectors
 #: Bounds of a block of queries: bytes of vectors sent to every task, and rows that a task keeps for it.
 QUERY_BYTES = 16 << 20
 KEPT_ROWS = 400_000
+#: Bytes of query vectors that the driver holds at once where blocks are not kept one by one.
+DRIVER_BYTES = 256 << 20
+#: Tasks that ``score_pairs`` takes at most.
+FEW_TASKS = 4096
 
 
 def score_pairs(tasks: DataFrame, frames: DataFrame) -> DataFrame:
-    """Every task's dot product with every frame, in expressions. For few tasks; ``top_unique`` is the way at
-    scale. ``tasks``: task_id, query; ``frames``: embedding and payload."""
+    """Every task's dot product with every frame, in expressions: the reference form of what ``retrieve`` scores,
+    for a few tasks (more than ``FEW_TASKS`` are refused). ``tasks``: task_id, query; ``frames``: embedding and payload."""
+    if tasks.limit(FEW_TASKS + 1).count() > FEW_TASKS:
+        raise ValueError("too many tasks for all pairs: use retrieve")
     pairs = frames.crossJoin(F.broadcast(tasks))
     return pairs.withColumn("score", vectors.dot(F.col("embedding"), F.col("query"))).drop("embedding", "query")
 
@@ -87,10 +94,22 @@ def _partial(tasks: list[tuple[str, list[float]]], k: int, unit: str, position:
     return scan
 
 
-def retrieve(tasks: DataFrame, frames: DataFrame, k: int, unit: str = "shot_uid", position: str = "source_index") -> DataFrame:
-    """``top_unique`` of all pairs, without making them: each task of Spark scores its frames against blocks of
-    query vectors by matrix products and passes on its k best units a query. Query vectors are taken in blocks
-    of a checked size; frames are never collected."""
+def _rounds(tasks: DataFrame, size: int, n: int) -> Iterator[list[tuple[str, list[float]]]]:
+    """Blocks of about ``size`` queries by a hash of their task; one block at a time is on the driver."""
+    blocks = -(-n // size)
+    cast = tasks.select("task_id", F.transform("query", lambda x: x.cast("double")).alias("q"), F.pmod(F.xxhash64("task_id"), F.lit(blocks)).alias("_b"))
+    for block in range(blocks):
+        rows = sorted((r["task_id"], r["q"]) for r in cast.where(F.col("_b") == block).collect())
+        if rows:
+            yield rows
+
+
+def retrieve(tasks: DataFrame, frames: DataFrame, k: int, unit: str = "shot_uid", position: str = "source_index", keep: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """``top_unique`` of all pairs, without making them: each task of Spark scores its frames against a block of
+    query vectors by matrix products and passes on its k best units a query. Blocks are of a checked size, and there
+    is one scan of the frames for each; frames are never collected. ``keep`` writes the answer of a block before the
+    next one is fetched (see ``plans.commands``), so that the driver never has more than one; without it the blocks
+    must fit ``DRIVER_BYTES`` together."""
     spark = frames.sparkSession
     first = tasks.select(F.count("*").alias("n"), F.max(F.size("query")).alias("d")).first()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema.fields if f.name != "embedding")
@@ -98,14 +117,10 @@ def retrieve(tasks: DataFrame, frames: DataFrame, k: int, unit: str = "shot_uid"
     if not first["n"]:
         return top_unique(spark.createDataFrame([], schema), k, unit=unit, position=position)
     size = max(1, min(QUERY_BYTES // (8 * max(first["d"], 1)), KEPT_ROWS // k))
-    blocks = -(-first["n"] // size)
+    if keep is None and first["n"] * 8 * max(first["d"], 1) > DRIVER_BYTES:
+        raise ValueError("too many queries for the driver: give keep")
     parts = []
-    for block in range(blocks):
-        mine = tasks.where(F.pmod(F.xxhash64("task_id"), F.lit(blocks)) == block).select("task_id", F.transform("query", lambda x: x.cast("double")).alias("q"))
-        rows = sorted((r["task_id"], r["q"]) for r in mine.collect())
-        if rows:
-            parts.append(frames.mapInArrow(_partial(rows, k, unit, position), schema))
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
-    return top_unique(scored, k, unit=unit, position=position)
+    for at, rows in enumerate(_rounds(tasks, size, first["n"])):
+        found = top_unique(frames.mapInArrow(_partial(rows, k, unit, position), schema), k, unit=unit, position=position)
+        parts.append(found if keep is None else keep(found, at))
+    return reduce(DataFrame.unionByName, parts)

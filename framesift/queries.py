@@ -1,7 +1,7 @@
 """Queries over the star-schema tables that exercise the engine's operators, and the same in SQL.
 
 Fixtures: a document is a segment of a video (ten to a video) that lasts as many milliseconds as it has
-characters; an embedding is a frame (two to a segment) and, for vec_id under 8, a task too. Scores of the second
+characters; an embedding is a frame (two to a segment), and every 50th one is a task too. Scores of the second
 stage are an exact integer hash, so that SQL can tell them."""
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
-N_TASKS, DIMENSION = 8, 48
-LIMIT, CENTERS, WINDOW_MS, FINE_FPS, MOST = 40, 5, 750, 8.0, 10
+#: The search's queries: every row whose id is divisible by this, against all rows.
+TASK_EVERY, DIMENSION = 50, 48
+LIMIT, CENTERS, WINDOW_MS, FINE_FPS, MOST = 500, 30, 750, 8.0, 10
 
 
 def query(sql: str) -> Callable[[Query], Query]:
@@ -67,7 +68,7 @@ def _samples_sql(source: str, fps: float) -> str:
 
 
 def _tasks(spark: SparkSession, sf_dir: str, dimension: int | None = None) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < N_TASKS)
+    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % TASK_EVERY == 0)
     vector = F.col("embedding") if dimension is None else vectors.prepare(F.col("embedding"), dimension)
     return rows.select(F.concat(F.lit("T"), "vec_id").alias("task_id"), vector.alias("query"))
 
@@ -87,7 +88,7 @@ def _retrieval_sql(k: int, dimension: int | None = None) -> str:
 scored AS (
   SELECT 'T' || t.vec_id AS task_id, f.vec_id AS source_index, 'v' || (f.vec_id // 2 // 10) AS video_id, f.vec_id // 2 AS shot_id,
          'v' || (f.vec_id // 2 // 10) || ':' || (f.vec_id // 2) AS shot_uid, list_dot_product(f.q, t.q) AS score
-  FROM vecs t JOIN vecs f ON t.vec_id < {N_TASKS}),
+  FROM vecs t JOIN vecs f ON t.vec_id % {TASK_EVERY} = 0),
 best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY task_id, shot_uid ORDER BY score DESC, source_index) = 1),
 cand AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, source_index) AS rank FROM best QUALIFY rank <= {k})"""
 
@@ -295,6 +296,13 @@ def dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition.first_rows(table(spark, sf_dir, "orders").select("o_orderkey"), 25, ["o_orderkey"])
 
 
+@query("""SELECT doc_id, source, n_chars, CAST(row_number() OVER (ORDER BY source NULLS FIRST, n_chars NULLS FIRST, doc_id) - 1 AS BIGINT) AS position FROM documents""")
+def number_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, with their texts, numbered in the order of three columns."""
+    out = manifest.number_rows(table(spark, sf_dir, "documents"), ["source", "n_chars", "doc_id"], "position")
+    return out.where(F.length("text") >= 0).select("doc_id", "source", "n_chars", "position")
+
+
 # -- retrieval ----------------------------------------------------------------------------------------
 
 
@@ -411,21 +419,22 @@ def nested_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    tasks = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("task_id"), F.col("c_custkey").alias("task_pos"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("task_id"), "o_orderkey")
+    tasks = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("task_id"), F.col("c_custkey").alias("task_pos"), "c_acctbal")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("task_id"), "o_orderkey", "o_orderstatus")
     return tasks, merge.union_all([orders.where("o_orderkey % 2 = 0"), orders.where("o_orderkey % 2 = 1")])
 
 
-@query("SELECT c_custkey AS task_id, c_custkey AS task_pos FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 9 = 0)")
+@query("SELECT c_custkey AS task_id, c_custkey AS task_pos FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def merge_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts hold what was finished (status F)."""
     tasks, parts = _parts(spark, sf_dir)
-    return merge.missing(tasks, parts.where("o_orderkey % 9 = 0"))
+    return merge.missing(tasks.select("task_id", "task_pos"), parts.where("o_orderstatus = 'F'").select("task_id", "o_orderkey"))
 
 
-@query("SELECT DISTINCT o_custkey AS task_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0)")
+@query("SELECT DISTINCT o_custkey AS task_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def merge_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks, parts = _parts(spark, sf_dir)
-    return merge.extra(tasks.where("task_id % 4 <> 0"), parts)
+    return merge.extra(tasks.where("c_acctbal > 0").select("task_id", "task_pos"), parts)
 
 
 @query("SELECT o_custkey AS task_id, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
@@ -436,24 +445,7 @@ def merge_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_custkey AS task_id, o_orderkey, c_custkey AS task_pos FROM orders JOIN customer ON c_custkey = o_custkey")
 def merge_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks, parts = _parts(spark, sf_dir)
-    return merge.in_task_order(parts, tasks)
-
-
-@query("""WITH r AS (SELECT CAST(label AS VARCHAR) AS task_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) + CASE WHEN label = 2 THEN 1 ELSE 0 END AS rank,
-  CASE WHEN vec_id % 41 = 0 THEN '' ELSE 'v' || (vec_id // 3) END AS video_id, CASE WHEN vec_id % 53 = 0 THEN -1 ELSE vec_id END AS frame_ms FROM embeddings WHERE vec_id < 100)
-SELECT task_id, 'more than 10 results' AS fault FROM r GROUP BY task_id HAVING count(*) > 10
-UNION SELECT task_id, 'ranks are not 1 to n' FROM r GROUP BY task_id HAVING min(rank) <> 1 OR max(rank) <> count(*)
-UNION SELECT task_id, 'invalid video_id' FROM r WHERE video_id = ''
-UNION SELECT task_id, 'duplicate video_id' FROM r GROUP BY task_id, video_id HAVING count(*) > 1
-UNION SELECT task_id, 'frame_ms is negative' FROM r WHERE frame_ms < 0
-UNION SELECT task_id, 'unknown video_id' FROM r WHERE video_id <> '' AND CAST(video_id[2:] AS BIGINT) > 30""")
-def validate_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").where("vec_id < 100")
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).cast("long") + F.when(F.col("label") == 2, 1).otherwise(0)
-    video = F.when(F.col("vec_id") % 41 == 0, F.lit("")).otherwise(F.concat(F.lit("v"), sampling.div(F.col("vec_id"), 3)))
-    frame = F.when(F.col("vec_id") % 53 == 0, F.lit(-1).cast("long")).otherwise(F.col("vec_id"))
-    results = rows.select(F.col("label").cast("string").alias("task_id"), rank.alias("rank"), video.alias("video_id"), frame.alias("frame_ms"))
-    return validate.result_faults(results, spark.range(31).select(F.concat(F.lit("v"), "id").alias("video_id")))
+    return merge.in_task_order(parts.drop("o_orderstatus"), tasks.drop("c_acctbal"))
 
 
 @query("""WITH e AS (SELECT vec_id, vec_id // 10 - CASE WHEN vec_id // 10 % 19 = 18 THEN 1 ELSE 0 END AS task FROM embeddings),
@@ -466,7 +458,7 @@ UNION SELECT task_id, 'invalid video_id' FROM v WHERE video_id = ''
 UNION SELECT task_id, 'duplicate video_id' FROM v GROUP BY task_id, video_id HAVING count(*) > 1
 UNION SELECT task_id, 'frame_ms is negative' FROM v WHERE frame_ms < 0
 UNION SELECT task_id, 'unknown video_id' FROM v WHERE video_id <> '' AND video % 29 = 7""")
-def validate_submission_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def validate_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings as results, ten a task (every 19th task twenty); every 29th video is unknown."""
     task = sampling.div(F.col("vec_id"), 10) - F.when(sampling.div(F.col("vec_id"), 10) % 19 == 18, 1).otherwise(0)
     rows = table(spark, sf_dir, "embeddings").select("vec_id", task.alias("task"))

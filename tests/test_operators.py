@@ -146,6 +146,29 @@ def test_numbers_have_no_gaps(spark):
     assert [x[0] for x in got] == list(range(1000)) and [x[1:] for x in got] == sorted(x[1:] for x in got)
 
 
+def test_numbering_loses_no_row(spark, tmp_path):
+    """Wide rows, so that the exchange of the rows is split otherwise than that of their counts; eight files."""
+    wide = spark.range(60_000).select(F.col("id"), F.pmod(F.xxhash64("id"), F.lit(40)).alias("k"), F.repeat(F.sha2(F.col("id").cast("string").cast("binary"), 256), 8).alias("text"))
+    wide = wide.withColumn("k", F.when(F.col("k") > 0, F.col("k")))  # nulls too
+    wide.repartition(8).write.parquet(str(tmp_path / "wide"))
+    manifest.number_rows(spark.read.parquet(str(tmp_path / "wide")), ["k", "id"], "n").write.parquet(str(tmp_path / "out"))
+    got = [(x.n, x.k or 0, x.id) for x in spark.read.parquet(str(tmp_path / "out")).select("n", "k", "id").orderBy("n").collect()]
+    assert [n for n, _, _ in got] == list(range(60_000)) and [x[1:] for x in got] == sorted(x[1:] for x in got)
+    assert manifest.number_rows(wide.limit(0), ["k", "id"], "n").count() == 0
+
+
+def test_all_pairs_are_for_few_tasks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "FEW_TASKS", 2)
+    monkeypatch.setattr(topk, "DRIVER_BYTES", 64)
+    tasks = spark.range(3).select(F.concat(F.lit("t"), "id").alias("task_id"), F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)).alias("query"))
+    frames = spark.range(9).select(F.col("id").alias("source_index"), F.col("id").cast("string").alias("shot_uid"), F.array(*(F.lit(1.0),) * 3).alias("embedding"))
+    with pytest.raises(ValueError, match="too many tasks"):
+        topk.score_pairs(tasks, frames)
+    with pytest.raises(ValueError, match="keep"):
+        topk.retrieve(tasks, frames, 2)
+    assert topk.retrieve(tasks, frames, 2, keep=lambda df, at: spark.createDataFrame(df.collect(), df.schema)).count() == 6
+
+
 def test_partitions(spark):
     df = spark.range(17)
     for parts in (1, 3, 20):
