@@ -196,7 +196,7 @@ def label(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text
         names = np.array(m.languages, object)
         for batch in pieces(batches, "text", SLICE):
             data, offsets = flat(batch.column("text"))
-            words = Words(data, offsets, BLANKS, hashes=False)
+            words = Words(data, offsets, BLANKS, lanes=0)
             n, k = batch.num_rows, len(m.languages)
             pred, score = np.full(n, "und", object), np.zeros(n)
             first, last, lang, ends = [], [], [], np.zeros(n + 1, np.int64)

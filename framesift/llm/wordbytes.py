@@ -1,31 +1,26 @@
-"""Words of many texts at once: boundaries and 64-bit hashes from the UTF-8 bytes, without a Python
-object per word. A word's hash is a difference of prefix sums of byte * P**i, shifted back by the
-inverse power of P, so the work is a few passes over the bytes."""
+"""Words of many texts at once: boundaries and hashes from the UTF-8 bytes, without a Python object a word.
 
-from __future__ import annotations
+A hash has one or two lanes of 64 bits. Each lane takes eight bytes of the word at a time and scatters them by a
+bijection, so within eight bytes no two words of one length share a hash, and there is no arithmetic structure that
+longer words could exploit; words of more than ``LONG`` bytes are hashed by BLAKE2b."""
 
-import numpy as np
+from __future__ import annotations
 
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INV = np.uint64(pow(int(_P), -1, 1 << 64))
-_MIX = np.uint64(0xD6E8FEB86659FD93)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+import hashlib
 
+import numpy as np
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for k, base in enumerate((_P, _INV)):
-            row = np.full(size, base, np.uint64)
-            row[0] = 1
-            _powers[k] = np.multiply.accumulate(row)
-    return _powers[0], _powers[1]
+_MIX = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD))
+_SEED = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)  # the first k bytes of eight
+#: Bytes from which on a word is hashed by itself.
+LONG = 64
 
 
-def mix(h: np.ndarray) -> np.ndarray:
+def mix(h: np.ndarray, lane: int = 0) -> np.ndarray:
     """Scatter 64-bit values (a bijection)."""
-    h = (h ^ (h >> np.uint64(32))) * _MIX
-    h = (h ^ (h >> np.uint64(32))) * _MIX
+    h = (h ^ (h >> np.uint64(32))) * _MIX[lane]
+    h = (h ^ (h >> np.uint64(29 + 3 * lane))) * _MIX[lane]
     return h ^ (h >> np.uint64(32))
 
 
@@ -42,10 +37,10 @@ BLANKS = separators([(0x20, 0x20), (0x09, 0x0D)])
 
 
 class Words:
-    """Words of a slice of texts: ``start``, ``end`` (byte places), ``doc`` (row), ``hash``, and
-    ``first`` (for each row the number of words before it; one more at the end)."""
+    """Words of a slice of texts: ``start``, ``end`` (byte places), ``doc`` (row), ``first`` (for each row the number
+    of words before it; one more at the end), ``hash`` and, with two lanes, ``more`` (64 bits each)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, blank: np.ndarray, hashes: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, blank: np.ndarray, lanes: int = 1):
         inside = ~blank[data]
         n, rows = len(data), len(offsets) - 1
         edge = np.zeros(n + 1, bool)
@@ -62,27 +57,34 @@ class Words:
         self.end = np.flatnonzero(inside & (~after | edge[1:])) + 1
         self.first = np.searchsorted(self.start, offsets).astype(np.int64)
         self.doc = np.repeat(np.arange(rows), np.diff(self.first))
-        self.hash = self._hashes(data) if hashes else None
-
-    def _hashes(self, data: np.ndarray) -> np.ndarray:
-        out = np.empty(len(self.start), np.uint64)
-        step, at = 1 << 20, 0
-        while at < len(self.start):  # spans of about a MiB, so that prefix sums stay small
-            base = self.start[at]
-            to = max(int(np.searchsorted(self.end, base + step, side="right")), at + 1)
-            span = data[base : self.end[to - 1]]
-            power, back = _tables(len(span) + 1)
-            sums = np.empty(len(span) + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum((span.astype(np.uint64) + np.uint64(1)) * power[: len(span)], out=sums[1:])
-            s, e = self.start[at:to] - base, self.end[at:to] - base
-            out[at:to] = mix((sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64) * _MIX)
-            at = to
+        self.hash, self.more = [*self._hashes(data, lanes), None, None][:2]
+
+    def _hashes(self, data: np.ndarray, lanes: int) -> list[np.ndarray]:
+        size = self.end - self.start
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))  # the eight bytes from each place on
+        out = [mix(size.astype(np.uint64) * _SEED[k] + _SEED[k], k) for k in range(lanes)]
+        who = np.flatnonzero(size <= LONG) if len(size) and size.max() > LONG else slice(None)
+        start, left = self.start[who], size[who]
+        while len(start):
+            x = eight[start] & _KEEP[np.minimum(left, 8)]
+            for k, h in enumerate(out):
+                h[who] = mix(h[who] ^ x, k) + _SEED[k]
+            on = np.flatnonzero(left > 8)
+            if not len(on):
+                break
+            who = on if isinstance(who, slice) else who[on]
+            start, left = start[on] + 8, left[on] - 8
+        for i in np.flatnonzero(size > LONG).tolist() if lanes else []:
+            found = np.frombuffer(hashlib.blake2b(data[self.start[i] : self.end[i]].tobytes(), digest_size=16).digest(), np.uint64)
+            for k in range(lanes):
+                out[k][i] = found[k]
         return out
 
 
 def runs(words: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
-    """Hash of each ``width`` consecutive words; those over a row's end are the caller's to mask."""
+    """Hash of each ``width`` consecutive words, from a lane of theirs; those over a row's end are the caller's to mask."""
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -106,3 +108,19 @@ def whole(first: np.ndarray, width: int) -> np.ndarray:
         at = at[(at >= 0) & (at < n)]
         out[at] = False
     return out
+
+
+def stretches(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray, most: int = 1 << 20):
+    """A slice of texts as (data, offsets), or, if it is one long text, that text in stretches of about ``most`` bytes that
+    end between words, so that what is derived from a stretch stays bounded."""
+    if len(offsets) != 2 or len(data) <= 2 * most:
+        yield data, offsets
+        return
+    a = 0
+    while a < len(data):
+        b = min(a + most, len(data))
+        while b < len(data) and not blank[data[b]]:
+            far = np.flatnonzero(blank[data[b : b + most]])
+            b = b + int(far[0]) if len(far) else min(b + most, len(data))
+        yield data[a:b], np.array([0, b - a])
+        a = b
