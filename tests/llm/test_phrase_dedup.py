@@ -58,6 +58,25 @@ def test_removed_stretches(spark):
     assert rows[3].kept == "" and rows[1].removed == []
 
 
+def test_words_that_fool_polynomial_hashes(spark):
+    """The Thue-Morse word and its complement agree under any polynomial hash modulo a power of two."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    head = " ".join(f"h{k}" for k in range(12))
+    rows = [(1, f"{head} {word}"), (2, f"{head} {other}"), (3, f"{head} {word}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(got(df), key=key) == sorted(brute(rows), key=key)
+
+
+def test_one_key_with_a_third_of_all_rows(spark):
+    rng = random.Random(3)
+    rows = [(7 if k % 3 == 0 else None if k % 3 == 1 else k, " ".join(rng.choices("abc", k=rng.randint(0, 40)))) for k in range(300)]
+    rows += [(7, " ".join("abcabcabcabcabc"))] * 20
+    assert sorted(got(spark.createDataFrame(rows, "doc_id long, text string"), shard_bytes=800, bucket_bytes=2000), key=key) == sorted(brute(rows), key=key)
+
+
 def test_query_equals_brute_force_and_sql(spark, sf):
     rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = sorted((i, n, m, hashlib.sha256(k.encode()).hexdigest()) for i, n, m, k in brute(rows))
