@@ -8,12 +8,12 @@ text whatever its length. Each dart has a coordinate, and the earliest dart of a
 signature's value there; coordinates left empty get more darts by doubling theta. Two signatures agree at a
 coordinate with the probability of the (weighted) Jaccard similarity.
 
-Texts with equal sets are one class and enter once. Classes that agree in a band of coordinates meet in a
+Texts with equal sets (by 128 bits of hash, of words without arithmetic structure) are one class and enter once. Classes that agree in a band of coordinates meet in a
 bucket, where whole signatures are compared; a bucket gives a forest of its promising pairs, not all of them.
 What hangs together by promising pairs is a group; each text of a group of several travels there once, and
 there all exact similarities are found at once, as a product of sparse incidences with the runs that two texts
 share. A group gives stars, not pairs. So no link within a group is lost, and copies are never expanded into
-pairs. Buckets and groups beyond ``block`` members are split into block pairs. A pair just at 0.8 is missed with
+pairs. Buckets and groups beyond ``block`` members, and groups beyond ``block_bytes``, are split into block pairs. A pair just at 0.8 is missed with
 a probability of 3e-5 by the bands (20 of 4) and of 4e-6 by the comparison of signatures (at least 0.6 of 80
 agree), and then only if nothing else brings both into one group.
 
@@ -44,22 +44,23 @@ class Settings:
     rows: int = 4
     slack: float = 0.2  # a pair is promising if at least similarity - slack of the coordinates agree
     weighted: bool = False
-    block: int = 2048
+    block: int = 512
+    block_bytes: int = 16 << 20
 
     @property
     def coordinates(self) -> int:
         return self.bands * self.rows
 
 
-def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingles(words: Words, width: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, distinct runs of words (sorted by row and run) and how often each stands there."""
-    ok = whole(words.first, width)
-    row, run = words.doc[: len(ok)][ok], runs(words.hash, width, seed=11)[ok]
+    ok, hashes = whole(words.first, width), words.more if lane else words.hash
+    row, run = words.doc[: len(ok)][ok], runs(hashes, width, seed=11)[ok]
     length = np.diff(words.first)
     for n in range(1, width):
         short = np.flatnonzero(length == n)
         if len(short):
-            row, run = np.concatenate([row, short]), np.concatenate([run, runs(words.hash, n, seed=11 + n)[words.first[short]]])
+            row, run = np.concatenate([row, short]), np.concatenate([run, runs(hashes, n, seed=11 + n)[words.first[short]]])
     order = np.lexsort((run, row))
     row, run = row[order], run[order]
     new = np.ones(len(row), bool)
@@ -221,10 +222,11 @@ def linked(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, spl
 
 def near_duplicates(df: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``df``: doc_id, class_id (smallest doc_id that it hangs together with by links of at
-    least ``similarity``), kept (class_id = doc_id; of rows with that doc_id all)."""
+    least ``similarity``), kept (class_id = doc_id; of rows with that doc_id all), text_hash (xxhash64 of the text, which
+    tells rows of one doc_id apart). The result is a table of ``cut``."""
     spark = df.sparkSession
     ship(spark)
-    docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     k = settings.coordinates
 
     def weigh(count: np.ndarray) -> np.ndarray:
@@ -233,45 +235,50 @@ def near_duplicates(df: DataFrame, settings: Settings = Settings(), doc_id: str
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             n = batch.num_rows
-            row, run, count = shingles(Words(*flat(batch.column("text")), BLANKS), settings.words)
+            words = Words(*flat(batch.column("text")), BLANKS, lanes=2)
+            row, run, count = shingles(words, settings.words)
             weight = weigh(count)
             signature = signatures(row, run, weight, n, k)
             has = np.bincount(row, minlength=n) > 0
-            tag = mix(run + weight.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
             whole_set = np.zeros((n, 2), np.uint64)
-            at = np.searchsorted(row, np.flatnonzero(has))
-            if len(at):
-                whole_set[has, 0] = np.add.reduceat(tag, at)
-                whole_set[has, 1] = np.add.reduceat(mix(tag ^ np.uint64(0x5851F42D4C957F2D)), at)
+            for lane, (r, x, c) in enumerate(((row, run, count), shingles(words, settings.words, 1))):
+                at = np.searchsorted(r, np.flatnonzero(has))
+                if len(at):  # the sum of the members' scattered hashes, a lane of its own for each half
+                    whole_set[has, lane] = np.add.reduceat(mix(x + weigh(c).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), lane), at)
             band = np.zeros((n, settings.bands), np.uint64)
             for j in range(settings.rows):
                 band = mix(band + signature[:, j :: settings.rows][:, : settings.bands].astype(np.uint64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, band.size + 1, settings.bands, dtype=np.int32)), pa.array(band.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(whole_set[:, 0].view(np.int64)), pa.array(whole_set[:, 1].view(np.int64)), pa.array(has),
+                [batch.column("id"), batch.column("h"), pa.array(np.diff(flat(batch.column("text"))[1])), pa.array(whole_set[:, 0].view(np.int64)), pa.array(whole_set[:, 1].view(np.int64)), pa.array(has),
                  pa.array([x.tobytes() for x in signature], pa.binary()), lists],
-                names=["id", "s1", "s2", "has", "signature", "bands"],
+                names=["id", "h", "size", "s1", "s2", "has", "signature", "bands"],
             )
 
-    signed = docs.mapInArrow(sign, "id long, s1 long, s2 long, has boolean, signature binary, bands array<long>")
+    signed = docs.mapInArrow(sign, "id long, h long, size long, s1 long, s2 long, has boolean, signature binary, bands array<long>")
     signed = cut(signed, "signatures")
     taking = signed.where("has AND id IS NOT NULL")
-    # A class holds all texts of one set. Its signature is any of theirs: they are equal.
-    classes = taking.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
-    classes = cut(classes, "classes")
+    # A class holds all texts of one set. Its signature is any of theirs: they are equal. It is a node, named by its smallest
+    # id, or by its hash where two classes have the same smallest id (rows that share a doc_id).
+    classes = taking.groupBy("s1", "s2").agg(F.min(F.struct("id", "h", "size")).alias("x"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    classes = cut(classes.select("s1", "s2", "x.*", "signature", "bands"), "classes")
+    twice = classes.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("twice"))
+    nodes = classes.join(twice, "id", "left").withColumn("node", F.when(F.col("twice"), F.col("s1")).otherwise(F.col("id")))
+    narrow = nodes.select("node", "id", "h", "size", "s1", "s2")
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def dealt(members: DataFrame, keys: list[str]) -> DataFrame:
         return members.repartition(tasks, *keys, "i", "j").sortWithinPartitions(*keys, "i", "j")
 
-    bands = classes.select("id", F.posexplode("bands").alias("band", "key"))
+    bands = nodes.select(F.col("node").alias("id"), F.posexplode("bands").alias("band", "key"))
     several = bands.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high"))
     several = several.where("size > 1 AND low < high").select("band", "key", "size")
     members = in_blocks(bands.join(several, ["band", "key"]), ["band", "key"], "id", "size", settings.block)
-    members = members.join(classes.select("id", "signature").dropDuplicates(["id"]), "id").select("band", "key", "i", "j", "side", "id", "signature")
+    members = members.join(nodes.select(F.col("node").alias("id"), "signature"), "id").select("band", "key", "i", "j", "side", "id", "signature")
     promising = dealt(members, ["band", "key"]).mapInArrow(_promising(settings), "a long, b long").where("a < b").distinct()
-    group = components(promising)
+    found = components(promising)
+    group = found
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, edges in by_groups(batches, ["component", "i", "j"], 256):
@@ -288,14 +295,19 @@ def near_duplicates(df: DataFrame, settings: Settings = Settings(), doc_id: str
                 far = np.flatnonzero(top != np.arange(b - a))
                 yield pa.RecordBatch.from_arrays([pa.array(own[rank][top[far]]), pa.array(own[rank][far])], names=["a", "b"])
 
-    sizes = group.groupBy("component").agg(F.count("*").alias("size"))
-    texts = docs.join(group, "id").dropDuplicates(["id", "text"]).join(sizes, "component")
-    texts = dealt(in_blocks(texts, ["component"], "id", "size", settings.block).select("component", "i", "j", "side", "id", "text"), ["component"])
+    group = group.select(F.col("id").alias("node"), "component").join(narrow, "node").select("node", "component", "id", "h", "size")
+    weight = F.greatest(F.count("*"), F.ceil(F.sum("size") * settings.block / settings.block_bytes)).alias("weight")
+    group = group.join(group.groupBy("component").agg(weight), "component").select("node", "component", "id", "h", "weight")
+    texts = docs.join(group, ["id", "h"]).dropDuplicates(["node"]).select("component", F.col("node").alias("id"), "text", "weight")
+    texts = dealt(in_blocks(texts, ["component"], "id", "weight", settings.block).select("component", "i", "j", "side", "id", "text"), ["component"])
     component = components(texts.mapInArrow(compare, "a long, b long").where("a < b"))
-    found = classes.select("s1", "s2", "id").join(component, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("class_id"))
-    out = taking.select("id", "s1", "s2").join(found, ["s1", "s2"]).select("id", "class_id")
-    rest = signed.where("NOT has OR id IS NULL").select("id", F.col("id").alias("class_id"))
-    out = out.unionByName(rest).select(F.col("id").alias("doc_id"), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
-    out = cut(out, "classes")
-    discard(signed, classes, group, component)
+    linked_nodes = component.select(F.col("id").alias("node"), "component").join(narrow.select("node", "id", "s1", "s2"), "node")
+    least = linked_nodes.groupBy("component").agg(F.min("id").alias("least"))
+    joined = linked_nodes.join(least, "component").select("s1", "s2", "least")
+    alone = classes.select("s1", "s2", "id").join(joined, ["s1", "s2"], "left").select("s1", "s2", F.coalesce("least", "id").alias("class_id"))
+    out = taking.select("id", "h", "s1", "s2").join(alone, ["s1", "s2"]).select("id", "h", "class_id")
+    rest = signed.where("NOT has OR id IS NULL").select("id", "h", F.col("id").alias("class_id"))
+    out = out.unionByName(rest).select(F.col("id").alias("doc_id"), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"), F.col("h").alias("text_hash"))
+    out = cut(out, "copies")
+    discard(signed, classes, found, component)
     return out

@@ -160,12 +160,13 @@ class Automaton:
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 13, anchor: int = 5,
-                   shard_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
-    """``df`` with ``n_words``, ``n_removed``, ``kept`` (kept words joined by a space) and ``removed`` (stretches
-    of words, first and last)."""
+                   shard_bytes: int = 4 << 20, bucket_bytes: int = 32 << 20, rest: bool = False) -> DataFrame:
+    """``df`` with ``n_words``, ``n_removed``, ``kept`` (kept words joined by a space), ``removed`` (stretches
+    of words, first and last) and, if wanted, ``rest``: the text as it was, line breaks and all, less the removed
+    stretches, each from its first word up to the next word that stays."""
     spark = df.sparkSession
     ship(spark)
-    df = df.drop("n_words", "n_removed", "kept", "removed", SHARD)
+    df = df.drop("n_words", "n_removed", "kept", "removed", SHARD, *(["rest"] if rest else []))
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards, buckets = max(1, -(-int(total) // shard_bytes)), max(1, -(-int(total) // bucket_bytes))
     parts = max(shards // 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -232,6 +233,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     out_schema = T.StructType([
         *df.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()),
         T.StructField("removed", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))),
+        *([T.StructField("rest", T.StringType())] if rest else []),
     ])
     passed = df.columns
 
@@ -254,12 +256,14 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     def answer(table: pa.Table, data: np.ndarray, offsets: np.ndarray, starts: dict[int, np.ndarray]) -> pa.Table:
         """``table`` with what the documents' phrases at ``starts`` (by row, words from 0) leave."""
-        n_words, n_removed, kept, removed = [], [], [], []
+        n_words, n_removed, kept, removed, remain = [], [], [], [], []
         raw = memoryview(np.ascontiguousarray(data))
         for d in range(table.num_rows):
-            words = bytes(raw[offsets[d] : offsets[d + 1]]).split()
+            body = bytes(raw[offsets[d] : offsets[d + 1]])
+            words = body.split()
             n_words.append(len(words))
             spans: list[dict] = []
+            left = body
             if d in starts:
                 cover = np.zeros(len(words) + 1, np.int64)
                 np.add.at(cover, starts[d], 1)
@@ -268,12 +272,19 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
                 edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
                 spans = [{"first": x, "last": y - 1} for x, y in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())]
                 words = list(compress(words, (~gone).tolist()))
+                if rest:
+                    begins = np.append(Words(np.frombuffer(body, np.uint8), np.array([0, len(body)]), BLANKS, lanes=0).start, len(body)).tolist()
+                    cuts = [0, *(x for span in spans for x in (begins[span["first"]], begins[span["last"] + 1])), len(body)]
+                    left = b"".join(body[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
+            remain.append(left)
             removed.append(spans)
             n_removed.append(n_words[-1] - len(words))
             kept.append(b" ".join(words))
         table = table.select(passed)
         kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
         added = (("n_words", pa.array(n_words, pa.int64())), ("n_removed", pa.array(n_removed, pa.int64())), ("kept", pa.array(kept, pa.binary()).cast(pa.string())), ("removed", pa.array(removed, kind)))
+        if rest:
+            added += (("rest", pa.array(remain, pa.binary()).cast(pa.string())),)
         for name, values in added:
             table = table.append_column(name, values)
         return table

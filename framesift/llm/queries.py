@@ -36,10 +36,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class of near copies of every document: five-word runs, similarity 0.8."""
+    """Class of near copies of every document: five-word runs, similarity 0.8. The similarity asked for is that of sets
+    of runs, so all weights are 1 here; ``Settings(weighted=True)`` counts repeats."""
     from framesift.llm import dart_minhash
 
-    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op4_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

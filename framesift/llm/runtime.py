@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -40,34 +41,61 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); one of our own only where that is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir). One of our own only where that is unset and everything runs in
+    one process: on a cluster the parts of a table would land on different machines."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get()
+    if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="framesift-checkpoint-")
     spark.sparkContext.setCheckpointDir(made)
     return made
 
 
+#: Paths of the tables that ``cut`` wrote and that are still there, oldest first.
+_written: list[str] = []
+
+
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: later plans start there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/framesift-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     setattr(out, _TABLE, path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _written:
+        _written.remove(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``cut`` wrote, once nothing reads them any more."""
     for df in tables:
-        jvm, path = df.sparkSession.sparkContext._jvm, getattr(df, _TABLE)
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, getattr(df, _TABLE))
+
+
+def mark() -> int:
+    """For ``sweep``: what has been written so far."""
+    return len(_written)
+
+
+def sweep(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete the tables that ``cut`` wrote since a ``mark``, except those to keep. Results of operators read such tables:
+    sweep once they have been read or written elsewhere."""
+    kept = {getattr(df, _TABLE) for df in keep}
+    for path in [p for p in _written[since:] if p not in kept]:
+        _delete(spark, path)
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +168,7 @@ def in_blocks(members: DataFrame, keys: list[str], member: str, size: str, block
     """Members of groups dealt out so that no task gets a large group whole. A group of more than ``block``
     members (column ``size``) is split into blocks by a hash of ``member``; each block meets itself and every
     other one in a group of its own, named by ``i`` and ``j``; ``side`` 1 is the block ``j`` where the two
-    differ. Other groups are one block."""
+    differ. Other groups are one block. ``size`` may be any measure of which a task should get ``block`` at most."""
     blocks = F.ceil(F.col(size) / block).cast("int")
     out = members.withColumn("_blocks", F.greatest(blocks, F.lit(1))).withColumn("_mine", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
     out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))

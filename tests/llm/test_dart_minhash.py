@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from framesift.llm import dart_minhash as dm
 from framesift.llm.queries import op3_near_duplicates
@@ -52,8 +53,8 @@ def test_classes_equal_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows)
     assert len(set(want.values())) < len(rows) * 0.6
-    for block in (1024, 5):
-        got = dm.near_duplicates(df, dm.Settings(block=block)).collect()
+    for settings in (dm.Settings(block=1024), dm.Settings(block=5), dm.Settings(block_bytes=20_000)):
+        got = dm.near_duplicates(df, settings).collect()
         assert {x.doc_id: x.class_id for x in got} == want and len(got) == len(rows)
         assert all(x.kept == (x.class_id == x.doc_id) for x in got)
 
@@ -85,6 +86,23 @@ def test_null_ids_and_empty_table(spark):
     assert dm.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_doc_id_are_judged_by_their_texts(spark):
+    a, b = (" ".join(f"{p}{k}" for k in range(60)) for p in "ab")
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a + " more"), (1, "c d e f g h"), (4, "c d e f g i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"id": F.lit(1), "h": F.lit(2), "class_id": F.lit(0), "node": F.lit(0)})
+    got = sorted((x.doc_id, x.class_id, x.kept) for x in dm.near_duplicates(df).collect())
+    assert got == [(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False), (4, 4, True)]
+
+
+def test_words_that_fool_polynomial_hashes(spark):
+    """The Thue-Morse word and its complement agree under any polynomial hash modulo a power of two."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word), (4, "long " * 300_000)], "doc_id long, text string")
+    assert [x.class_id for x in dm.near_duplicates(df).orderBy("doc_id").collect()] == [1, 2, 1, 4]
+
+
 def test_query_equals_brute_force(spark, sf):
     rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert {x.doc_id: x.class_id for x in op3_near_duplicates(spark, sf).collect()} == brute(rows)

@@ -50,6 +50,14 @@ def test_random_texts_in_small_shards(spark):
     assert pd.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_the_rest_keeps_its_line_breaks(spark):
+    passage = "\n".join(f"p{k}" for k in range(13))
+    rows = [(1, passage), (2, f" a\n\nb\t{passage}\nc é\n"), (3, f"x\n{passage}"), (4, None), (None, passage), (5, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rest", F.lit("clash"))
+    got = {x.doc_id: x.rest for x in pd.remove_repeats(df, rest=True).collect()}
+    assert got == {1: passage, 2: " a\n\nb\tc é\n", 3: "x\n", 4: "", None: passage, 5: ""}
+
+
 def test_removed_stretches(spark):
     text = " ".join(f"p{k}" for k in range(13))
     df = spark.createDataFrame([(1, text), (2, f"a {text} b"), (3, text)], "doc_id long, text string")
