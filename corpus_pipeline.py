@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from framesift.llm import bpe, dart_minhash, mixing, phrase_dedup, toxicity
 from framesift.llm.queries import QUALITY
-from framesift.llm.runtime import cut, table
+from framesift.llm.runtime import cut, mark, sweep, table
 
-#: Shares of tokens wanted after mixing. Documents likely to be good all stay, others are sampled to these shares.
-TARGETS = {"good": 0.9, "poor": 0.1}
+#: Shares of tokens wanted after mixing. Documents likely to be good all stay, others are sampled to these shares; where
+#: poor tokens are fewer than that from the start, all documents stay.
+TARGETS = {"good": 0.95, "poor": 0.05}
 REJECT = 0.5
 
 
@@ -29,15 +30,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each class of near copies."""
-    gone = dart_minhash.near_duplicates(docs).where("NOT kept").select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Keep the document with the smallest doc_id of each class of near copies (rows of one doc_id are told apart by
+    their texts)."""
+    gone = dart_minhash.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.xxhash64("text") == F.col("_hash")), "left_anti").select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove phrases that an earlier document has too. Texts without such phrases stay as they are."""
-    out = phrase_dedup.remove_repeats(docs)
-    out = out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
+    """Remove phrases that an earlier document has too; what stays keeps its line breaks and blanks. Texts without such
+    phrases stay as they are."""
+    out = phrase_dedup.remove_repeats(docs, rest=True)
+    out = out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("rest")).otherwise(F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
@@ -68,7 +71,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages in order; of the tables written on the way only the last stage's input stays."""
+    docs, before = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
+        sweep(spark, before, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
