@@ -31,8 +31,10 @@ def test_stages(spark):
     assert set(left) == {i for i, c in classes.items() if i == c}
 
     short, cutout = after("substring_dedup", single)
-    want = {i: (k if m else left[i].text) for i, _, m, k in passages([(i, x.text) for i, x in left.items()])}
-    assert {i: x.text for i, x in cutout.items()} == want and all(x.n_chars == len(x.text) for x in cutout.values())
+    want = {i: (m, k) for i, _, m, k in passages([(i, x.text) for i, x in left.items()])}
+    assert set(cutout) == set(want) and all(x.n_chars == len(x.text) for x in cutout.values())
+    assert all(b" ".join(x.text.encode().split()).decode() == want[i][1] if want[i][0] else x.text == left[i].text for i, x in cutout.items())
+    assert sum(x.text.count("\n") for i, x in cutout.items() if want[i][0]) > 0.3 * sum(left[i].text.count("\n") for i in want if want[i][0])
 
     mixed, chosen = after("mixing", short)
     assert all(chosen[i] == cutout[i] for i in chosen)
@@ -49,8 +51,9 @@ def test_stages(spark):
 def test_nulls_and_repeats_pass_through(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    odd = spark.createDataFrame([(90001, None, None, None, None), (90002, "", "en", "s", 0), (None, "a text", "en", "s", 6)], docs.schema)
+    odd = [(90001, None, None, None, None), (90002, "", "en", "s", 0), (None, "a text", "en", "s", 6), *[(90003, "twice the same", "en", "s", 14)] * 2, (90004, "a very long text " * 60_000, "en", "s", 1_020_000)]
+    odd = spark.createDataFrame(odd, docs.schema)
     for name, stage in cp.STAGES:
         odd_out = stage(spark, docs.unionByName(odd), sf)
-        assert odd_out.where("doc_id > 90000").count() == 2 or name == "mixing", name
+        assert odd_out.where("doc_id > 90000").count() == 5 or name == "mixing", name
         assert stage(spark, docs.limit(0), sf).count() == 0, name
