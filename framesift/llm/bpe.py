@@ -26,7 +26,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from framesift.llm.runtime import flat, pieces, ship
+from framesift.llm.runtime import flat, lean, pieces, ship
 
 #: Fixed choice: characters in a leaf; the result doesn't depend on it.
 LEAF_CHARS = 4096
@@ -221,16 +221,16 @@ class Bpe:
     def encode(self, df: DataFrame, text: str = "text", ids: str = "ids") -> DataFrame:
         """``df`` with the token ids of ``text``, an array of int."""
         schema = _with(df.schema, ids, T.ArrayType(T.IntegerType()))
-        return df.mapInArrow(self.encoding_step(text, ids), schema)
+        return df.mapInArrow(lean(self.encoding_step(text, ids)), schema)
 
     def decode(self, df: DataFrame, ids: str = "ids", out: str = "decoded") -> DataFrame:
         """``df`` with the bytes that ``ids`` stand for. Null ids have no bytes."""
-        return df.mapInArrow(self.decoding_step(ids, out), _with(df.schema, out, T.BinaryType()))
+        return df.mapInArrow(lean(self.decoding_step(ids, out)), _with(df.schema, out, T.BinaryType()))
 
     def both(self, df: DataFrame, then: Step, schema: T.StructType, text: str = "text") -> DataFrame:
         """Encode, decode and ``then`` in one pass over the rows; ``then`` sees ``ids`` and ``decoded``."""
         encode, decode = self.encoding_step(text, "ids"), self.decoding_step("ids", "decoded")
-        return df.mapInArrow(lambda batches: then(decode(encode(batches))), schema)
+        return df.mapInArrow(lean(lambda batches: then(decode(encode(batches)))), schema)
 
 
 def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framesift.llm.runtime import flat, pieces, ship
+from framesift.llm.runtime import flat, lean, pieces, ship
 from framesift.llm.wordbytes import BLANKS, Words, runs, whole
 
 #: The shard of a row, a column beside those of the documents.
@@ -311,10 +311,10 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
         return frame.select(*(F.col(c).alias(f"a_{c}") for c in frame.columns))
 
     def told(function, frame: DataFrame, schema) -> DataFrame:
-        return docs.groupBy(SHARD).cogroup(renamed(frame).groupBy("a_shard")).applyInArrow(function, schema)
+        return docs.groupBy(SHARD).cogroup(renamed(frame).groupBy("a_shard")).applyInArrow(lean(function), schema)
 
-    anchors = docs.groupBy(SHARD).applyInArrow(send_anchors, "bucket int, shard int, keys binary")
-    anchors = anchors.groupBy("bucket").applyInArrow(shared_anchors, "shard int, keys binary")
+    anchors = docs.groupBy(SHARD).applyInArrow(lean(send_anchors), "bucket int, shard int, keys binary")
+    anchors = anchors.groupBy("bucket").applyInArrow(lean(shared_anchors), "shard int, keys binary")
     phrases = told(send_phrases, anchors, "bucket int, shard int, high binary, low binary, doc binary, many binary, place binary")
-    confirmed = phrases.groupBy("bucket").applyInArrow(confirm, "shard int, place binary, first binary")
+    confirmed = phrases.groupBy("bucket").applyInArrow(lean(confirm), "shard int, place binary, first binary")
     return told(locate, confirmed, out_schema).unionByName(df.where(F.col(doc_id).isNull()).mapInArrow(untouched, out_schema))

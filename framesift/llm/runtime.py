@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import os
 import re
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -98,6 +101,35 @@ def sweep(spark: SparkSession, since: int, *keep: DataFrame) -> None:
         _delete(spark, path)
 
 
+def trim() -> None:
+    """Give back to the system what a worker holds but doesn't use: workers outlive their tasks, beside other ones."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+
+
+def lean(step):
+    """The step, with a ``trim`` after its last batch; for a function of one or two tables, after each call."""
+
+    def done(out):
+        if isinstance(out, pa.Table):
+            trim()
+            return out
+        return _trimmed(out)
+
+    if len(inspect.signature(step).parameters) == 2:  # Spark looks at the number of arguments
+        return lambda left, right: done(step(left, right))
+    return lambda data: done(step(data))
+
+
+def _trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from batches
+    trim()
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string or binary column and the offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framesift.llm.runtime import cut, discard, flat, pieces, ship
+from framesift.llm.runtime import cut, discard, flat, lean, pieces, ship
 from framesift.llm.wordbytes import Words, mix, separators, stretches
 
 #: Bytes of text that are looked at together.
@@ -276,4 +276,4 @@ def score_with(df: DataFrame, model: Model, text: str = "text", evidence: int =
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array(found, kind)], names=[*batch.schema.names, "score", "evidence"])
 
-    return df.mapInArrow(judge, T.StructType([*df.schema.fields, *SCORED.fields[1:]]))
+    return df.mapInArrow(lean(judge), T.StructType([*df.schema.fields, *SCORED.fields[1:]]))
