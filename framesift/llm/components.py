@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.runtime import cut, discard, ship
+from framesift.llm.runtime import cut, discard, lean, ship
 
 #: Rounds grow as the logarithm of the longest path; this many would be a fault in the input.
 MOST_ROUNDS = 60
@@ -39,6 +39,34 @@ def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         label = new
 
 
+def forest(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Which pairs (x < y) to keep so that all that hang together still do: for each y the smallest x, and
+    of the others those that join two trees."""
+    order = np.lexsort((x, y))
+    keep = np.zeros(len(x), bool)
+    first = np.ones(len(x), bool)
+    first[1:] = y[order][1:] != y[order][:-1]
+    keep[order[first]] = True
+    root = list(range(n))
+
+    def find(a: int) -> int:
+        while root[a] != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        return a
+
+    for k in np.flatnonzero(keep).tolist():
+        a, b = find(int(x[k])), find(int(y[k]))
+        root[max(a, b)] = min(a, b)
+    top = np.array([find(a) for a in range(n)])
+    for k in np.flatnonzero(top[x] != top[y]).tolist():
+        a, b = find(int(x[k])), find(int(y[k]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            keep[k] = True
+    return keep
+
+
 def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stars (member, smallest member) of the components that a task's edges form, ``TASK_EDGES`` at a time."""
     held, rows = [], 0
@@ -75,7 +103,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     every = cut(now.distinct(), "edges")
     before = _digest(every)
     tasks = -(-before[0] // (TASK_EDGES // 2)) or 1  # dealt round robin: none gets twice its share
-    now = cut(every.repartition(tasks).mapInArrow(contract, "a long, b long"), "edges")
+    now = cut(every.repartition(tasks).mapInArrow(lean(contract), "a long, b long"), "edges")
     discard(every)
     for _ in range(MOST_ROUNDS if tasks > 1 else 0):
         # large-star: every larger neighbour of a vertex goes to the vertex's smallest neighbour

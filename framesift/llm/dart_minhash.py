@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.components import components, roots
+from framesift.llm.components import components, forest, roots
 from framesift.llm.runtime import by_groups, cut, discard, flat, in_blocks, pieces, ship
 from framesift.llm.wordbytes import BLANKS, Words, mix, runs, whole
 
@@ -129,34 +129,6 @@ def _agree(left: np.ndarray, right: np.ndarray, least: int) -> tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 2  # type: ignore[return-value]
 
 
-def _forest(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
-    """Which pairs (x < y) to keep so that all that hang together still do: for each y the smallest x, and
-    of the others those that join two trees."""
-    order = np.lexsort((x, y))
-    keep = np.zeros(len(x), bool)
-    first = np.ones(len(x), bool)
-    first[1:] = y[order][1:] != y[order][:-1]
-    keep[order[first]] = True
-    root = list(range(n))
-
-    def find(a: int) -> int:
-        while root[a] != a:
-            root[a] = root[root[a]]
-            a = root[a]
-        return a
-
-    for k in np.flatnonzero(keep).tolist():
-        a, b = find(int(x[k])), find(int(y[k]))
-        root[max(a, b)] = min(a, b)
-    top = np.array([find(a) for a in range(n)])
-    for k in np.flatnonzero(top[x] != top[y]).tolist():
-        a, b = find(int(x[k])), find(int(y[k]))
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            keep[k] = True
-    return keep
-
-
 def _promising(settings: Settings):
     least = int(np.ceil((settings.similarity - settings.slack) * settings.coordinates - 1e-9))
 
@@ -180,7 +152,7 @@ def _promising(settings: Settings):
                     place = np.empty(b - a, np.int64)
                     place[order - a] = np.arange(b - a)
                     p, q = place[x - a], place[y - a]
-                    keep = _forest(np.minimum(p, q), np.maximum(p, q), b - a)
+                    keep = forest(np.minimum(p, q), np.maximum(p, q), b - a)
                     x, y = x[keep], y[keep]
                 if len(x):
                     found.append((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])))
