@@ -1,3 +1,4 @@
+import math
 import re
 
 from framesift.llm import licenses
@@ -57,3 +58,32 @@ def test_partial_template_has_partial_score(spark):
     df = spark.createDataFrame([(1, whole), (2, whole.replace("conditions", "terms")), (3, whole.replace("binary", "object"))], "doc_id long, text string")
     got = {x.doc_id: x for x in licenses.scan(df).collect()}
     assert got[1].score == 1 and 0.6 <= got[2].score < 1 and got[3].labels == ""
+
+
+def test_scan_equals_a_plain_search(spark):
+    """Labels, spans and scores of all documents: every template tried at every word."""
+    sf = "/root/testdata/sf0.001"
+    texts = {x.doc_id: x.text for x in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    mit = next(t.words for t in licenses.TEMPLATES if t.label == "mit" and len(t.words) > 200)
+    texts |= {90001: mit, 90002: mit[:-60], 90003: "x " + mit.replace("sublicense", "lend") + " all rights reserved", 90004: None, 90005: "cc by sa cc by"}
+    split = {i: WORD.findall(lower(t or "")) for i, t in texts.items()}
+    index = {w for t in licenses.TEMPLATES for w in t.words.split()}
+    idf = {w: math.log((len(texts) + 1) / (sum(w in set(x) for x in split.values()) + 1)) + 1 for w in index}
+    want = {}
+    for i, words in split.items():
+        want[i] = []
+        for t in licenses.TEMPLATES:
+            own, key = t.words.split(), t.key.split()
+            k = next(k for k in range(len(own)) if own[k : k + len(key)] == key)
+            every = sum(idf[w] for w in own)
+            for at in range(len(words) - len(key) + 1):
+                if words[at : at + len(key)] == key:
+                    s = at - k
+                    cover = sum(idf[w] for j, w in enumerate(own) if 0 <= s + j < len(words) and words[s + j] == w) / every
+                    if cover >= 0.6 - 1e-12:
+                        want[i].append((t.label, max(s, 0), min(s + len(own), len(words)) - 1, round(min(1, cover), 9)))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for x in licenses.scan(df).collect():
+        assert sorted((s.label, s.first, s["last"], round(s.coverage, 9)) for s in x.spans) == sorted(want[x.doc_id])
+        assert x.labels == ",".join(sorted({w[0] for w in want[x.doc_id]})) and round(x.score, 9) == max((w[3] for w in want[x.doc_id]), default=0)
+    assert {"mit", "reserved"} <= {w[0] for w in want[90003]} and want[90002] and want[90005]
