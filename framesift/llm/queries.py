@@ -43,6 +43,27 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+#: Sets of five-word runs, pairs by shared runs, and what hangs together. For small tables.
+OP3_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0
+), s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + 4], ' ')) AS h FROM g
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 5 * c >= 4 * (nx.n + ny.n - c)
+), r(x, y) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y
+)
+SELECT x AS doc_id, min(y) AS class_id, min(y) = x AS kept FROM r GROUP BY x
+"""
+
+
 def op4_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove words of 13-word phrases that start in an earlier document too."""
     from framesift.llm import phrase_dedup
@@ -84,6 +105,27 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5_shards' law says of each shard: rows, the last slot, and the bytes of all of them."""
+    rows = op5_shards(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("n_rows"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.countDistinct("slot").alias("n_slots"))
+    return rows.select(F.col("shard").cast("long").alias("shard"), "n_rows", "first_slot", "last_slot", "n_slots")
+
+
+SHARD_COUNTS_SQL = """
+WITH t AS (SELECT count(*) AS n FROM documents), s AS (SELECT unnest(range(0, 40)) AS shard)
+SELECT shard, n_rows, 0::BIGINT AS first_slot, n_rows - 1 AS last_slot, n_rows AS n_slots
+FROM (SELECT shard, n // 40 + CASE WHEN shard < n % 40 THEN 1 ELSE 0 END AS n_rows FROM s, t) WHERE n_rows > 0
+"""
+
+
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size of every record that op5_shards placed."""
+    return op5_shards(spark, sf_dir).select("doc_id", "size", "law", "grown_shard")
+
+
+SHARD_SIZES_SQL = "SELECT doc_id, CAST(coalesce(strlen(text), 0) + 16 AS BIGINT) AS size, 'rows' AS law, CAST(NULL AS INTEGER) AS grown_shard FROM documents"
+
+
 def op6_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 highest inner products of every 50th vector with all others."""
     from framesift.llm import kdtree
@@ -112,6 +154,27 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def licence_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7_licenses says of the base phrases."""
+    return op7_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+LICENCE_PLACES_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), e AS (
+  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d
+), h AS (
+  SELECT doc_id, i - 1 AS place, CASE WHEN w[i : i + 1] = ['cc', 'by'] THEN 'cc-by' WHEN w[i : i + 2] = ['general', 'public', 'license'] THEN 'gpl'
+    WHEN w[i : i + 2] = ['all', 'rights', 'reserved'] THEN 'reserved' END AS label FROM e
+), f AS (
+  SELECT doc_id, count(*) AS n, min(place) AS a, max(place) AS b, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM h WHERE label IS NOT NULL GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, a AS first_word, b AS last_word, coalesce(labels, '') AS base_labels
+FROM d LEFT JOIN f USING (doc_id)
+"""
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every document; learn from labelled rows outside the held-out fifth."""
     from framesift.llm import toxicity
@@ -131,6 +194,22 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link(table(spark, sf_dir, "embeddings"))
 
 
+#: All pairs; for small tables. The query finds a pair just at the threshold with a probability of 0.995 at least.
+OP9_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9
+), n AS (
+  SELECT x, count(*) AS n FROM l GROUP BY x
+), r(x, y) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y
+)
+SELECT r.x AS vec_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_links, min(y) AS component_id, min(y) = r.x AS kept FROM r LEFT JOIN n ON n.x = r.x GROUP BY r.x
+"""
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predict every document's language; learn from those outside the held-out third."""
     from framesift.llm import langid
@@ -151,5 +230,11 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_langid": op10_langid,
+    "shard_counts": shard_counts,
+    "shard_sizes": shard_sizes,
+    "licence_places": licence_places,
 }
-ORACLE: dict[str, str] = {"op4_phrases": OP4_SQL, "op6_kdtree": OP6_SQL}
+ORACLE: dict[str, str] = {
+    "op3_near_duplicates": OP3_SQL, "op4_phrases": OP4_SQL, "op6_kdtree": OP6_SQL, "op9_embedding_dedup": OP9_SQL,
+    "shard_counts": SHARD_COUNTS_SQL, "shard_sizes": SHARD_SIZES_SQL, "licence_places": LICENCE_PLACES_SQL,
+}

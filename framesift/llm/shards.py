@@ -47,13 +47,13 @@ def shuffle_into_shards(df: DataFrame, shards: int, identity: list[str], text: s
     buckets = max(1, -(-int(total) // bucket_bytes))
     scattered = df.withColumn("_h", F.xxhash64(F.lit(seed), *identity)).withColumn("_b", F.pmod("_h", F.lit(buckets)))
 
-    # One row a bucket: total / bucket_bytes of them.
+    # One row of three numbers a bucket: total / bucket_bytes of them (3 million for 100 TB).
     counts = scattered.groupBy("_b").agg(F.count("*").alias("_n"))
     order = Window.orderBy("_b")
     counts = counts.select("_b", "_n", (F.sum("_n").over(order) - F.col("_n")).alias("_from"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
 
-    tasks = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = scattered.repartition(tasks, "_b").join(counts, "_b").sortWithinPartitions("_b", "_h", *identity)
+    # Each bucket is a task of its own.
+    dealt = scattered.repartitionById(buckets, F.col("_b").cast("int")).join(F.broadcast(counts), "_b").sortWithinPartitions("_b", "_h", *identity)
     schema = T.StructType([*df.schema.fields, T.StructField("_p", T.LongType()), T.StructField("_all", T.LongType())])
     names = df.columns
 
