@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import functools
 import importlib
 import json
 
@@ -16,6 +17,12 @@ def plugin(name: str):
     return getattr(importlib.import_module(module), factory)
 
 
+def embedder(name: str, dimension: int):
+    """The surrogate is told its dimension; other factories know theirs."""
+    make = plugin(name)
+    return functools.partial(make, dimension) if make is models.HashEmbedder else make
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="framesift")
     sub = top.add_subparsers(dest="command", required=True)
@@ -30,7 +37,9 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--partitions", type=int, default=1)
         return p
 
-    sub.add_parser("doctor")
+    p = sub.add_parser("doctor")
+    p.add_argument("--plugin", action="append", default=[])
+    p.add_argument("--path", action="append", default=[])
     p = add("shots", "dataset-root+", "out", parts=True)
     p.add_argument("--detector", default="framesift.models:GridDetector")
     p.add_argument("--dry-run", type=int, default=0)
@@ -43,15 +52,22 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--shard-size", type=int, default=2048)
     p.add_argument("--reader", action="append")
     p.add_argument("--embedder", default="framesift.models:HashEmbedder")
+    p.add_argument("--max-image-side", type=int, default=512)
+    p.add_argument("--batch-size", type=int, default=2)
     p = add("retrieve", "tasks", "corpus-dir+", "output", parts=True)
     p.add_argument("--top-k", type=int, default=3000)
     p.add_argument("--reuse", action="store_true")
     p.add_argument("--embedder", default="framesift.models:HashEmbedder")
+    p.add_argument("--instruction", default="")
+    p.add_argument("--query-batch-size", type=int, default=2)
     p = add("rerank", "tasks", "candidates+", "shots-dir", "video-root", "output-dir", parts=True)
     for flag, kind, value in (("candidate-limit", int, 500), ("fine-top-k", int, 30), ("fine-window-ms", int, 750), ("fine-fps", float, 8.0), ("long-shot-fps", float, 1.0), ("max-predictions", int, 10)):
         p.add_argument(f"--{flag}", type=kind, default=value)
     p.add_argument("--reader", action="append")
     p.add_argument("--scorer", default="framesift.models:HashScorer")
+    p.add_argument("--instruction", default="")
+    p.add_argument("--score-chunk-size", type=int, default=4)
+    p.add_argument("--max-image-side", type=int, default=512)
     add("merge-candidates", "input+", "tasks", "output")
     add("merge-submissions", "input+", "tasks", "output-dir")
     p = add("validate", "tasks", "submission")
@@ -64,21 +80,21 @@ def main(args: list[str] | None = None) -> dict:
     spark = session()
     readers = [plugin(x) for x in getattr(a, "reader", None) or ["framesift.models:HashReader"]]
     if a.command == "doctor":
-        out = commands.doctor(spark)
+        out = commands.doctor(spark, [plugin(x) for x in a.plugin], a.path)
     elif a.command == "shots":
         out = commands.make_shots(spark, a.dataset_root, a.out, plugin(a.detector), a.partition_index, a.partitions, a.dry_run, a.overwrite)
     elif a.command == "make-manifest":
         out = commands.make_manifest(spark, a.shots_dir, a.video_root, a.output, a.long_shot_fps, a.strict_videos)
     elif a.command == "embed-corpus":
-        make = plugin(a.embedder)
-        out = commands.embed_corpus(spark, a.manifest, a.output_dir, readers, (lambda: make(a.dimension)) if make is models.HashEmbedder else make, a.dimension, a.shard_size, a.partition_index, a.partitions)
+        out = commands.embed_corpus(spark, a.manifest, a.output_dir, readers, embedder(a.embedder, a.dimension), a.dimension, a.shard_size, a.partition_index, a.partitions,
+                                    side=a.max_image_side, batch_size=a.batch_size)
     elif a.command == "retrieve":
-        make = plugin(a.embedder)
         dimension = commands.corpus.describe(spark, a.corpus_dir[0])["dimension"]
-        out = commands.retrieve(spark, a.tasks, a.corpus_dir, a.output, (lambda: make(dimension)) if make is models.HashEmbedder else make, a.top_k, a.partition_index, a.partitions, a.reuse)
+        out = commands.retrieve(spark, a.tasks, a.corpus_dir, a.output, embedder(a.embedder, dimension), a.top_k, a.partition_index, a.partitions, a.reuse, a.instruction, a.query_batch_size)
     elif a.command == "rerank":
         out = commands.rerank_tasks(spark, a.tasks, a.candidates, a.shots_dir, a.video_root, a.output_dir, readers, plugin(a.scorer), a.candidate_limit, a.fine_top_k,
-                                    a.fine_window_ms, a.fine_fps, a.long_shot_fps, a.max_predictions, a.partition_index, a.partitions)
+                                    a.fine_window_ms, a.fine_fps, a.long_shot_fps, a.max_predictions, a.partition_index, a.partitions,
+                                    instruction=a.instruction, chunk=a.score_chunk_size, side=a.max_image_side)
     elif a.command == "merge-candidates":
         out = commands.merge_candidates(spark, a.input, a.tasks, a.output)
     elif a.command == "merge-submissions":

@@ -21,10 +21,9 @@ from framesift.sources import control, corpus, sinks, tables, videos
 Factory = Callable[[], object]
 
 
-def doctor(spark: SparkSession) -> dict:
-    """Versions of what runs here."""
-    found = {"python": platform.python_version(), "spark": spark.version, "master": spark.sparkContext.master}
-    for name in ("pyspark", "pyarrow", "pandas", "numpy"):
+def _versions(*names: str) -> dict:
+    found = {}
+    for name in names:
         try:
             found[name] = importlib.metadata.version(name)
         except importlib.metadata.PackageNotFoundError:
@@ -32,14 +31,32 @@ def doctor(spark: SparkSession) -> dict:
     return found
 
 
+def doctor(spark: SparkSession, plugins: list[Factory] = (), paths: list[str] = ()) -> dict:
+    """Versions of what runs here, whether each plug-in can be made where tasks run, and whether paths can be read."""
+    found = {"python": platform.python_version(), "spark": spark.version, "master": spark.sparkContext.master} | _versions("pyspark", "pyarrow", "pandas", "numpy")
+    found["shared_folder"] = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    found["plugins"] = {models.name_of(f): models.can_make(spark, f) for f in plugins}
+    found["paths"] = {p: control.exists(spark, p) for p in paths}
+    found["ready"] = all(x == "ok" for x in found["plugins"].values()) and all(found["paths"].values())
+    return found
+
+
+def _provenance(spark: SparkSession) -> dict:
+    """What a run's results may depend on beside its configuration; kept, but not compared."""
+    return {"python": platform.python_version(), "spark": spark.version} | _versions("framesift", "pyarrow", "numpy")
+
+
 def make_shots(spark: SparkSession, roots: list[str], out: str, detector: Factory, index: int = 0, parts: int = 1, dry_run: int = 0, overwrite: bool = False) -> dict:
     """Detect segments of all videos; those with a manifest are skipped unless ``overwrite``; failures go to a log."""
     partition.check_partition(index, parts)
+    config = {"roots": roots, "detector": models.name_of(detector), "index": index, "parts": parts}
     listed = manifest.number_rows(videos.list_videos(spark, roots), ["video_id"], "position")
     mine = partition.take_partition(listed, index, parts, "position")
     if dry_run:
         rows = partition.first_rows(mine, dry_run, ["position"]).collect()
         return {"dry_run": [r["video_id"] for r in rows]}
+    control.same_run(spark, f"{out}/_config.json", config, control.exists(spark, f"{out}/manifests") and not overwrite, overwrite)
+    control.write(spark, f"{out}/_provenance.json", _provenance(spark))
     todo = mine
     if control.exists(spark, f"{out}/manifests") and not overwrite:
         done = spark.read.schema(schemas.SHOT_MANIFEST).json(f"{out}/manifests").select("video_id")
@@ -73,16 +90,19 @@ def make_manifest(spark: SparkSession, shots_dir: str, video_root: str, out: str
 
 
 def embed_corpus(spark: SparkSession, manifest_path: str, out: str, reader: list[Factory], embedder: Factory, dimension: int = 4096, shard_size: int = 2048,
-                 index: int = 0, parts: int = 1, chunk: int = 1 << 20, config: dict | None = None) -> dict:
+                 index: int = 0, parts: int = 1, chunk: int = 1 << 20, config: dict | None = None, side: int = 512, batch_size: int = 0) -> dict:
     """Embed the manifest's frames in chunks of source_index. After each chunk the control file moves the cursor;
-    a chunk that was cut off is written again in full. Frames that can't be read go to a dead-letter table."""
+    a chunk that was cut off is written again in full. Frames that can't be read go to a dead-letter table. A state that
+    another manifest, plug-in or setting made is refused."""
     validate.check_ranges(partitions=parts, index=index, shard_size=shard_size, dimension=dimension)
     tune(spark)
     frames = partition.take_partition(spark.read.parquet(manifest_path), index, parts, "source_index")
     state = control.read(spark, f"{out}/_corpus.json")
-    own = {"manifest": manifest_path, "dimension": dimension, "shard_size": shard_size, "index": index, "parts": parts} | (config or {})
+    own = {"manifest": manifest_path, "manifest_sha256": control.digest(spark, manifest_path), "dimension": dimension, "shard_size": shard_size, "index": index, "parts": parts,
+           "readers": [models.name_of(f) for f in reader], "embedder": models.name_of(embedder), "side": side, "batch_size": batch_size} | (config or {})
     control.same_run(spark, f"{out}/_config.json", own, state is not None)
-    state = state or {"cursor": -1, "embedded": 0, "failed": 0, "complete": False, "dimension": dimension, "chunks": []}
+    control.write(spark, f"{out}/_provenance.json", _provenance(spark))
+    state = state or {"cursor": -1, "embedded": 0, "failed": 0, "complete": False, "dimension": dimension, "chunks": [], "embedder": own["embedder"]}
     started = time.monotonic()
     top = frames.agg(F.max("source_index")).first()[0]
     while not state["complete"]:
@@ -92,10 +112,10 @@ def embed_corpus(spark: SparkSession, manifest_path: str, out: str, reader: list
             break
         upto = state["cursor"] + chunk
         part = partition.after_cursor(frames, state["cursor"]).where(F.col("source_index") <= upto)
-        seen = models.read_frames(part, reader).persist()
+        seen = models.read_frames(part, reader, side).persist()
         good, bad = seen.where(F.col("image").isNotNull()).drop("error", "decoder"), seen.where(F.col("image").isNull()).drop("image")
         name = f"chunk={len(state['chunks']):06d}"
-        sinks.write_frames(models.embed(good, "image", embedder, dimension), f"{out}/frames/{name}", shard_size)
+        sinks.write_frames(models.embed(good, "image", embedder, dimension, batch_size=batch_size), f"{out}/frames/{name}", shard_size)
         bad.write.mode("overwrite").parquet(f"{out}/failed/{name}")
         n, failed = good.count(), bad.count()
         seen.unpersist()
@@ -104,56 +124,82 @@ def embed_corpus(spark: SparkSession, manifest_path: str, out: str, reader: list
     return state | {"seconds": round(time.monotonic() - started, 3)}
 
 
-def retrieve(spark: SparkSession, tasks_path: str, corpora: list[str], out: str, embedder: Factory, top_k: int = 3000, index: int = 0, parts: int = 1, reuse: bool = False) -> dict:
+def retrieve(spark: SparkSession, tasks_path: str, corpora: list[str], out: str, embedder: Factory, top_k: int = 3000, index: int = 0, parts: int = 1, reuse: bool = False,
+             instruction: str = "", batch_size: int = 0) -> dict:
     """The k best unique segments for each task, from all corpora. With ``reuse`` an output that was written in full
-    under the same configuration is kept."""
+    under the same configuration (tasks, corpora, plug-in, instruction) is kept. Corpora must be those of the same plug-in."""
     partition.check_partition(index, parts)
     tune(spark)
-    config = {"tasks": tasks_path, "corpora": corpora, "top_k": top_k, "index": index, "parts": parts}
+    states = [corpus.describe(spark, c) for c in corpora]
+    name = models.name_of(embedder)
+    config = {"tasks": tasks_path, "tasks_sha256": control.digest(spark, tasks_path), "corpora": corpora, "chunks": [len(x.get("chunks", [])) for x in states], "embedded": [x["embedded"] for x in states],
+              "top_k": top_k, "index": index, "parts": parts, "embedder": name, "instruction": instruction, "batch_size": batch_size}
+    if others := {x["embedder"] for x in states if x.get("embedder") not in (None, name)}:
+        raise ValueError(f"corpora were embedded by {', '.join(sorted(others))}, not by {name}")
     if reuse and control.exists(spark, f"{out}/_SUCCESS") and control.read(spark, f"{out}/_config.json") == config:
         return config | {"output": out, "reused": True}
     tasks = partition.take_partition(tables.load_tasks(spark, tasks_path), index, parts, "task_pos")
-    dimension = corpus.describe(spark, corpora[0])["dimension"]
-    queries = models.embed(tasks, "description", embedder, dimension, "query").select("task_id", "query")
+    queries = models.embed(tasks, "description", embedder, states[0]["dimension"], "query", instruction, batch_size).select("task_id", "query")
     frames = corpus.read_corpora(spark, corpora).drop("chunk")
-    sinks.write_candidates(topk.retrieve(queries, frames, top_k), out)
+    control.delete(spark, f"{out}/_config.json")
+    kept = f"{out}_blocks"
+    found = topk.retrieve(queries, frames, top_k, keep=lambda df, at: _kept(df, f"{kept}/{at:06d}"))
+    sinks.write_candidates(found, out)
+    control.delete(spark, kept)
     control.write(spark, f"{out}/_config.json", config)  # names that begin with _ are no data
     return config | {"output": out, "reused": False}
 
 
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    """A block's answer, written beside the output, so that the driver holds one block of queries at a time."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def rerank_tasks(spark: SparkSession, tasks_path: str, candidates: list[str], shots_dir: str, video_root: str, out: str, readers: list[Factory], scorer: Factory,
                  candidate_limit: int = 500, fine_top_k: int = 30, window_ms: int = 750, fine_fps: float = 8.0, long_shot_fps: float = 1.0, most: int = 10,
-                 index: int = 0, parts: int = 1, archive: bool = True) -> dict:
+                 index: int = 0, parts: int = 1, archive: bool = True, instruction: str = "", chunk: int = 0, side: int = 512) -> dict:
     """Score, scan finely, select; writes ranked frames, progress and the submission of this part of the tasks."""
     tune(spark)
     partition.check_partition(index, parts)
     everyone = tables.load_tasks(spark, tasks_path)
     mine = partition.take_partition(everyone, index, parts, "task_pos")
-    config = {"tasks": tasks_path, "candidates": candidates, "candidate_limit": candidate_limit, "fine_top_k": fine_top_k, "window_ms": window_ms, "fine_fps": fine_fps,
+    config = {"tasks": tasks_path, "tasks_sha256": control.digest(spark, tasks_path), "candidates": candidates, "candidates_sha256": control.digest(spark, *candidates),
+              "shots_dir": shots_dir, "video_root": video_root, "readers": [models.name_of(f) for f in readers], "scorer": models.name_of(scorer),
+              "instruction": instruction, "chunk": chunk, "side": side, "candidate_limit": candidate_limit, "fine_top_k": fine_top_k, "window_ms": window_ms, "fine_fps": fine_fps,
               "long_shot_fps": long_shot_fps, "most": most, "index": index, "parts": parts}
     log = f"{out}/progress"
     control.same_run(spark, f"{out}/_config.json", config, control.exists(spark, log))
-    todo, done = mine, None
+    control.write(spark, f"{out}/_provenance.json", _provenance(spark))
+    todo, done, held = mine, None, []
+
+    def keep(df: DataFrame) -> DataFrame:
+        held.append(df.persist())
+        return held[-1]
+
     if control.exists(spark, log):
         done = tables.read_progress(spark, log)
         todo = partition.without_done(mine, done, ["task_id"])
     started = time.monotonic()
-    todo = todo.persist()
+    todo = keep(todo)
     if not todo.isEmpty():
         found = tables.load_candidates(spark, candidates)
         found = rerank.require_candidates(todo, found).select("task_id", "description").join(found, "task_id")
         known = _manifests(spark, shots_dir).select("video_id", F.inline("shots")).select("video_id", "shot_id", "start_ms", "end_ms")
         files = videos.list_files(spark, video_root)
-        placed = videos.resolve_paths(found.select("video_id", "video_path").groupBy("video_id").agg(F.min("video_path").alias("video_path")), files, video_root).persist()
+        placed = videos.resolve_paths(found.select("video_id", "video_path").groupBy("video_id").agg(F.min("video_path").alias("video_path")), files, video_root)
+        placed = keep(placed)
         found = found.drop("video_path").join(placed.select("video_id", F.col("path").alias("video_path")), "video_id")
         found = found.withColumn("rank", F.col("position")).drop("position")
-        stage = rerank.Rerank(found, known, models.read_and_score(readers, scorer), placed.where("exists"), candidate_limit, fine_top_k, window_ms, fine_fps, long_shot_fps, most, lambda df: df.persist())
+        stage = rerank.Rerank(found, known, models.read_and_score(readers, scorer, side, instruction, chunk), placed.where("exists"), candidate_limit, fine_top_k, window_ms, fine_fps, long_shot_fps, most, keep)
         sinks.write_ranked(stage.ranked.select("task_id", "video_id", "shot_id", "frame_ms", "reranker_score", "embedding_score", "scan_stage", "rank"), f"{out}/ranked")
         total = mine.count()
         rows = todo.select("task_id", "task_pos").join(rerank.nested_results(stage.selected), "task_id", "left").join(stage.stats, "task_id", "left")
         rows = rows.select("task_id", F.col("task_pos").alias("task_index"), F.lit(total).cast("long").alias("task_total"), "candidate_shots", "coarse_frames", "fine_centers", "fine_frames",
                            F.round(F.lit(time.monotonic() - started), 3).alias("seconds"), F.struct("task_id", F.coalesce("results", F.array().cast("array<struct<rank:bigint,video_id:string,frame_ms:bigint>>")).alias("results")).alias("result"))
         sinks.write_jsonl(rows, log, append=True)
+    for df in held:
+        df.unpersist()
     finished = tables.read_progress(spark, log).select("task_id", F.col("result.results").alias("results")).dropDuplicates(["task_id"])
     ordered = merge.merge([finished], mine)
     sinks.write_submission(ordered, out, archive)

@@ -4,6 +4,7 @@ crash loses neither."""
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from typing import Any
@@ -60,9 +61,29 @@ def write(spark: SparkSession, path: str, value: Any) -> None:
     write_bytes(spark, path, (json.dumps(value, ensure_ascii=False, indent=2) + "\n").encode())
 
 
-def same_run(spark: SparkSession, path: str, config: dict, state_exists: bool) -> None:
-    """Keep ``config`` beside the state of a run, or refuse a state of another configuration or of none."""
-    known = read(spark, path)
+def digest(spark: SparkSession, *paths: str) -> str:
+    """SHA-256 of what the files under ``paths`` hold, in the order of their names: a changed file under the same path
+    makes another run. Contents are read by Spark's tasks; names that begin with _ or . are no data."""
+    from pyspark.sql import functions as F
+
+    whole = hashlib.sha256()
+    for path in paths:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        rows = files.select("path", F.sha2("content", 256).alias("h")).where(~F.col("path").rlike(r"/[_.][^/]*$")).orderBy("path").collect()
+        for r in rows:
+            whole.update(f"{r['path'].rsplit('/', 1)[-1]}\0{r['h']}\n".encode())
+    return whole.hexdigest()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    _, where, fs = _file(spark, path)
+    fs.delete(where, True)
+
+
+def same_run(spark: SparkSession, path: str, config: dict, state_exists: bool, replace: bool = False) -> None:
+    """Keep ``config`` beside the state of a run, or refuse a state of another configuration or of none. With ``replace``
+    the state is about to be written anew."""
+    known = None if replace else read(spark, path)
     if known is None:
         if state_exists:
             raise ValueError(f"there is state but no configuration at {path}")

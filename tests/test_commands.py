@@ -1,11 +1,14 @@
+import functools
 import json
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from framesift import models, schemas
+from framesift.functions import pixels, sampling
 from framesift.plans import commands
 from framesift.sources import control, corpus, sinks, tables, videos
 from framesift.streaming import embed as streaming
@@ -74,6 +77,101 @@ def test_from_videos_to_submission(spark, world):
         commands.validate_submission(spark, f"{root}/bad.json", tasks)
 
 
+def test_state_of_another_plugin_or_input_is_refused(spark, world):
+    root, out = str(world), str(world / "out")
+    commands.make_shots(spark, [f"{root}/V3C1"], f"{out}/shots", models.GridDetector)
+    assert control.read(spark, f"{out}/shots/_provenance.json")["spark"] == spark.version
+    with pytest.raises(ValueError, match="detector"):
+        commands.make_shots(spark, [f"{root}/V3C1"], f"{out}/shots", functools.partial(models.GridDetector))
+    commands.make_manifest(spark, f"{out}/shots", root, f"{out}/manifest")
+
+    def embed(embedder=functools.partial(models.HashEmbedder, 64), reader=models.HashReader, **more):
+        return commands.embed_corpus(spark, f"{out}/manifest", f"{out}/corpus", [reader], embedder, 64, 8, **more)
+
+    assert embed()["complete"]
+    for change, key in (({"embedder": functools.partial(models.HashEmbedder, 65)}, "embedder"), ({"reader": models.PaintReader}, "readers"), ({"side": 99}, "side"), ({"batch_size": 3}, "batch_size")):
+        with pytest.raises(ValueError, match=key):
+            embed(**change)
+    commands.make_manifest(spark, f"{out}/shots", root, f"{out}/manifest", long_shot_fps=1.0)
+    with pytest.raises(ValueError, match="manifest_sha256"):
+        embed()
+
+    tasks, mine = f"{root}/tasks.jsonl", functools.partial(models.HashEmbedder, 64)
+
+    def find(embedder=mine, **more):
+        return commands.retrieve(spark, tasks, [f"{out}/corpus"], f"{out}/found", embedder, 5, reuse=True, **more)["reused"]
+
+    assert [find(), find(), find(instruction="find it"), find(instruction="find it"), find()] == [False, True, False, True, False]
+    with pytest.raises(ValueError, match="embedded by"):
+        find(functools.partial(models.HashEmbedder, 65))
+    with open(tasks, "a") as f:
+        f.write('{"task_id": "T4", "description": "more"}\n')
+    assert find() is False and find() is True
+
+    def rank(scorer=models.HashScorer, **more):
+        return commands.rerank_tasks(spark, tasks, [f"{out}/found"], f"{out}/shots", root, f"{out}/ranked", [models.HashReader], scorer, fine_top_k=2, **more)
+
+    assert rank()["tasks"] == 4 and rank()["tasks"] == 4
+    for change, key in (({"scorer": functools.partial(models.HashScorer)}, "scorer"), ({"instruction": "x"}, "instruction"), ({"side": 9}, "side"), ({"chunk": 3}, "chunk")):
+        with pytest.raises(ValueError, match=key):
+            rank(**change)
+    find(instruction="other words")
+    with pytest.raises(ValueError, match="candidates_sha256"):
+        rank()
+
+
+def test_plugins_get_instructions_and_bounded_batches(spark):
+    class Seen:
+        plugin_name = "seen-1"
+
+        def embed(self, items, instruction=""):
+            return np.array([[len(items), len(instruction), 1.0]] * len(items))
+
+        def score(self, query, images, instruction=""):
+            return [len(images) + len(instruction) / 10] * len(images)
+
+    items = spark.range(7, numPartitions=1).select("id", F.lit("x").alias("text"))
+    rows = models.embed(items, "text", Seen, 3, instruction="four", batch_size=3).orderBy("id").collect()
+    assert [round(x.embedding[0] / x.embedding[2]) for x in rows] == [3, 3, 3, 3, 3, 3, 1] and all(round(x.embedding[1] / x.embedding[2]) == 4 for x in rows)
+    frames = items.select("id", F.lit("q").alias("description"), F.lit(b"i").alias("image"))
+    assert sorted(x.reranker_score for x in models.score(frames, Seen, instruction="12345", chunk=3).collect()) == [1.5] + [3.5] * 6
+    assert models.name_of(Seen) == "seen-1" and models.name_of(functools.partial(Seen, 1, k=2)) == "seen-1(1, k=2)"
+    makers = [lambda n=n: n for n in (1, 2)] + [(lambda n: lambda: n)(n) for n in (1, 2)]
+    assert len({models.name_of(f) for f in makers[2:]}) == 2 and models.name_of(makers[2]) == models.name_of((lambda n: lambda: n)(1))
+
+
+def test_pixels_are_made_to_fit(spark):
+    frames = spark.createDataFrame([("a.paint", 5), ("b", 6)], "video_path string, frame_ms long")
+    rows = {x.video_path: x for x in models.read_frames(frames, [models.PaintReader, models.HashReader], 16).collect()}
+    small = pixels.from_ppm(bytes(rows["a.paint"].image))
+    assert small.shape == (12, 16, 3) and rows["a.paint"].decoder == "paint" and rows["b"].decoder == "hash"
+    whole = models.PaintReader().read("a.paint", 5)
+    assert (pixels.fit_within(whole, 0) == whole).all() and pixels.fit_within(whole, 64).shape == whole.shape
+    assert (pixels.fit_within(np.full((40, 80, 3), 77, np.uint8), 13) == 77).all()
+    means = whole[:, :, 1].astype(float).reshape(12, 4, 16, 4).mean((1, 3))
+    assert np.abs(pixels.fit_within(whole, 16)[1:-1, 1:-1, 1] - means[1:-1, 1:-1]).max() < 2
+    for w, h, side in ((1920, 1080, 512), (3, 1000, 100), (512, 512, 512), (7, 5, 0)):
+        got = spark.range(1).select(sampling.fit_within(F.lit(w).cast("long"), F.lit(h).cast("long"), side).alias("s")).first().s if side else None
+        assert not side or pixels.fit_size(w, h, side) == (got.width, got.height)
+
+
+def test_readers_keep_few_files_open():
+    class Handle:
+        def __init__(self, path):
+            self.path, self.closed = path, False
+
+        def close(self):
+            self.closed = True
+
+    made = []
+    files = models.OpenFiles(lambda p: made.append(Handle(p)) or made[-1], 2)
+    for p in "aabacab":
+        files.get(p)
+    assert [h.path for h in made] == ["a", "b", "c", "b"] and [h.closed for h in made] == [False, True, True, False]
+    files.close()
+    assert all(h.closed for h in made)
+
+
 def test_shot_manifest_files(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"video_id": "clip", "shots": [{"shot_id": i, "start_ms": a, "end_ms": b} for i, a, b in ((0, 0, 2000), (1, 2000, 5000), (2, 5000, 18000))]}, indent=1))
     (tmp_path / "b.json").write_text(json.dumps({"shots": []}))
@@ -172,4 +270,11 @@ def test_embedding_of_arriving_files(spark, tmp_path):
 def test_doctor_and_command_line(spark, capsys):
     from framesift.__main__ import main
 
-    assert main(["doctor"])["spark"] == spark.version
+    said = main(["doctor", "--plugin", "framesift.models:HashScorer", "--path", "/root/testdata", "--path", "/no/such"])
+    assert said["spark"] == spark.version and said["plugins"] == {"framesift.models:HashScorer": "ok"}
+    assert said["paths"] == {"/root/testdata": True, "/no/such": False} and not said["ready"]
+
+    def broken():
+        raise RuntimeError("no weights")
+
+    assert not commands.doctor(spark, [broken])["ready"]
