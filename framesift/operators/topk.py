@@ -70,7 +70,11 @@ def _partial(tasks: list[tuple[str, list[float]]], k: int, unit: str, position:
 
         for batch in batches:
             column = batch.column("embedding")
-            values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, matrix.shape[1]))
+            if pa.types.is_binary(column.type):  # 16 bits a component
+                values = np.frombuffer(b"".join(column.to_pylist()), "<f2")
+            else:
+                values = column.flatten().to_numpy(zero_copy_only=False)
+            values = values.astype(np.float64).reshape(batch.num_rows, matrix.shape[1])
             scores = values @ matrix.T
             few = min(k * 4, batch.num_rows)
             rows, n = [], batch.num_rows

@@ -90,16 +90,16 @@ def make_manifest(spark: SparkSession, shots_dir: str, video_root: str, out: str
 
 
 def embed_corpus(spark: SparkSession, manifest_path: str, out: str, reader: list[Factory], embedder: Factory, dimension: int = 4096, shard_size: int = 2048,
-                 index: int = 0, parts: int = 1, chunk: int = 1 << 20, config: dict | None = None, side: int = 512, batch_size: int = 0) -> dict:
+                 index: int = 0, parts: int = 1, chunk: int = 1 << 20, config: dict | None = None, side: int = 512, batch_size: int = 0, half: bool = True) -> dict:
     """Embed the manifest's frames in chunks of source_index. After each chunk the control file moves the cursor;
     a chunk that was cut off is written again in full. Frames that can't be read go to a dead-letter table. A state that
-    another manifest, plug-in or setting made is refused."""
+    another manifest, plug-in or setting made is refused. With ``half`` vectors take 16 bits a component."""
     validate.check_ranges(partitions=parts, index=index, shard_size=shard_size, dimension=dimension)
     tune(spark)
     frames = partition.take_partition(spark.read.parquet(manifest_path), index, parts, "source_index")
     state = control.read(spark, f"{out}/_corpus.json")
     own = {"manifest": manifest_path, "manifest_sha256": control.digest(spark, manifest_path), "dimension": dimension, "shard_size": shard_size, "index": index, "parts": parts,
-           "readers": [models.name_of(f) for f in reader], "embedder": models.name_of(embedder), "side": side, "batch_size": batch_size} | (config or {})
+           "readers": [models.name_of(f) for f in reader], "embedder": models.name_of(embedder), "side": side, "batch_size": batch_size, "half": half} | (config or {})
     control.same_run(spark, f"{out}/_config.json", own, state is not None)
     control.write(spark, f"{out}/_provenance.json", _provenance(spark))
     state = state or {"cursor": -1, "embedded": 0, "failed": 0, "complete": False, "dimension": dimension, "chunks": [], "embedder": own["embedder"]}
@@ -115,7 +115,7 @@ def embed_corpus(spark: SparkSession, manifest_path: str, out: str, reader: list
         seen = models.read_frames(part, reader, side).persist()
         good, bad = seen.where(F.col("image").isNotNull()).drop("error", "decoder"), seen.where(F.col("image").isNull()).drop("image")
         name = f"chunk={len(state['chunks']):06d}"
-        sinks.write_frames(models.embed(good, "image", embedder, dimension, batch_size=batch_size), f"{out}/frames/{name}", shard_size)
+        sinks.write_frames(models.embed(good, "image", embedder, dimension, batch_size=batch_size), f"{out}/frames/{name}", shard_size, half=half)
         bad.write.mode("overwrite").parquet(f"{out}/failed/{name}")
         n, failed = good.count(), bad.count()
         seen.unpersist()

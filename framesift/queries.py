@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from framesift.functions import paths, sampling, text, vectors
 from framesift.operators import manifest, merge, partition, progress, rerank, shots, topk, validate
-from framesift.session import tune
+from framesift.session import scratch, tune
+from framesift.sources import corpus, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,13 +108,19 @@ def _readable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return videos.where(F.substring("video_id", 2, 9).cast("long") % 7 != 3)
 
 
+_kept: list[DataFrame] = []
+
+
 def _rerank(spark: SparkSession, sf_dir: str, most: int = MOST) -> rerank.Rerank:
-    """The second stage over the retrieval's candidates; every seventh video can't be read."""
+    """The second stage over the retrieval's candidates; every seventh video can't be read. What it keeps is given up by the
+    next call: a result that is read later is computed again."""
+    while _kept:
+        _kept.pop().unpersist()
     found = topk.retrieve(_tasks(spark, sf_dir), _frames(spark, sf_dir), LIMIT)
     null = F.lit(None).cast("long")
     candidates = found.select("task_id", "video_id", "shot_id", "rank", "score", "embedding_score", null.alias("frame_ms"), null.alias("shot_start_ms"), null.alias("shot_end_ms"))
     known = _shots(spark, sf_dir).withColumnsRenamed({"shot_start_ms": "start_ms", "shot_end_ms": "end_ms"})
-    return rerank.Rerank(candidates, known, _hash_score, _readable(spark, sf_dir), LIMIT, CENTERS, WINDOW_MS, FINE_FPS, 1.0, most, DataFrame.persist)
+    return rerank.Rerank(candidates, known, _hash_score, _readable(spark, sf_dir), LIMIT, CENTERS, WINDOW_MS, FINE_FPS, 1.0, most, lambda df: _kept.append(df.persist()) or _kept[-1])
 
 
 def _rerank_sql(last: str, most: int = MOST) -> str:
@@ -415,6 +422,76 @@ def nested_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank.nested_results(_rerank(spark, sf_dir).selected).select("task_id", text.as_json(F.col("results")).alias("results"))
 
 
+# -- sinks, read back ---------------------------------------------------------------------------------
+
+
+@query("""SELECT CAST(item_id AS VARCHAR) AS task_id, text AS description, CAST(row_number() OVER (ORDER BY item_id) - 1 AS BIGINT) AS task_pos FROM benchmark""")
+def tasks_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks written as JSON lines in several files, and loaded in their order."""
+    path = scratch(spark, "tasks")
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("task_id"), F.col("text").alias("description"), "item_id")
+    sinks.write_jsonl(rows.repartitionByRange(4, "item_id").sortWithinPartitions("item_id").drop("item_id"), path)
+    return tables.load_tasks(spark, path).select("task_id", "description", "task_pos")
+
+
+@query(f"WITH {_retrieval_sql(500)} SELECT task_id, rank AS position, rank, video_id, shot_id, CAST(round(score * 1e9) AS BIGINT) AS score_e9 FROM cand")
+def candidates_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate lists, one JSON object a task, and loaded again."""
+    path = scratch(spark, "candidates")
+    sinks.write_candidates(topk.retrieve(_tasks(spark, sf_dir), _frames(spark, sf_dir), LIMIT), path)
+    rows = tables.load_candidates(spark, path)
+    return rows.select("task_id", "position", "rank", "video_id", "shot_id", F.round(F.col("score") * 1e9).cast("long").alias("score_e9"))
+
+
+@query(_rerank_sql("SELECT task_id, rank, shot_id, frame_ms, reranker_score FROM ranked WHERE rank <= 500"))
+def ranked_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked frames, a partition a task, written twice: the second time replaces the first."""
+    path, ranked = scratch(spark, "ranked"), _rerank(spark, sf_dir).ranked
+    for _ in range(2):
+        sinks.write_ranked(ranked.select("task_id", "shot_id", "frame_ms", "reranker_score", "rank"), path)
+    return spark.read.schema("rank long, shot_id long, frame_ms long, reranker_score double, task_id string").parquet(path)
+
+
+@query(_rerank_sql("""SELECT CAST(dense_rank() OVER (ORDER BY CAST(task_id[2:] AS BIGINT)) - 1 AS BIGINT) AS position, task_id, rank, video_id, frame_ms FROM selected"""))
+def submission_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A submission as one JSON document in the order of the tasks, and read again."""
+    path = scratch(spark, "submission")
+    tasks = manifest.number_rows(_tasks(spark, sf_dir).select("task_id"), [F.substring("task_id", 2, 19).cast("long")], "task_pos")
+    results = rerank.nested_results(_rerank(spark, sf_dir).selected)
+    sinks.write_submission(merge.merge([results], tasks), path)
+    return tables.read_submission(spark, f"{path}/submission.json").select("position", "task_id", F.inline("results"))
+
+
+@query("""SELECT doc_id, CASE WHEN n_chars < 300 THEN 'too short' END AS error FROM documents""")
+def failures_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with an error go to a table of their own."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("n_chars") < 300, F.lit("too short")).alias("error"))
+    good, bad = sinks.split_failures(rows)
+    path = scratch(spark, "failures")
+    good.write.parquet(f"{path}/good")
+    bad.write.parquet(f"{path}/bad")
+    return spark.read.parquet(f"{path}/good").withColumn("error", F.lit(None).cast("string")).unionByName(spark.read.parquet(f"{path}/bad"))
+
+
+@query("""SELECT c_custkey, coalesce(nullif(CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 7 > 0 THEN c_name END, ''), 'v' || c_custkey) AS video_id FROM customer""")
+def or_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    name = F.when(key % 5 == 0, F.lit("")).when(key % 7 > 0, F.col("c_name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.or_default(name, F.concat(F.lit("v"), key)).alias("video_id"))
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT vec_id, v, list_max(list_transform(v, lambda x: abs(x))) AS top FROM e)
+SELECT vec_id AS source_index, len(v) AS n, top < 65504 AS fits FROM m""")
+def half_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written with 16 bits a component and read again: as many components, none off by more than 16 bits lose."""
+    path = scratch(spark, "half")
+    sinks.write_frames(_frames(spark, sf_dir).select("source_index", "embedding"), f"{path}/frames", 512, half=True)
+    back = corpus.vectors(spark.read.parquet(f"{path}/frames")).select("source_index", F.col("embedding").alias("w"))
+    both = back.join(_frames(spark, sf_dir).select("source_index", "embedding"), "source_index")
+    off = F.aggregate(F.zip_with("w", "embedding", lambda a, b: F.abs(a - b) <= F.abs(b) / 1024 + 1e-7), F.lit(True), lambda t, x: t & x)
+    return both.select("source_index", F.size("w").cast("long").alias("n"), off.alias("fits"))
+
+
 # -- merging and checks -------------------------------------------------------------------------------
 
 

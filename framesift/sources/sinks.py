@@ -5,9 +5,12 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framesift.sources import control
 
@@ -18,8 +21,21 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
 
-def write_frames(df: DataFrame, path: str, shard_size: int, append: bool = False) -> None:
-    """Embedded frames in files of at most ``shard_size`` rows, sorted, so that cursors skip row groups."""
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``embedding`` as the bytes of 16-bit floats."""
+    for batch in batches:
+        column = batch.column("embedding")
+        values, ends = column.values.to_numpy(zero_copy_only=False).astype("<f2"), column.offsets.to_numpy()
+        packed = pa.array([values[a:b].tobytes() if ok else None for a, b, ok in zip(ends[:-1], ends[1:], column.is_valid().to_pylist())], pa.binary())
+        yield batch.set_column(batch.schema.get_field_index("embedding"), "embedding", packed)
+
+
+def write_frames(df: DataFrame, path: str, shard_size: int, append: bool = False, half: bool = False) -> None:
+    """Embedded frames in files of at most ``shard_size`` rows, sorted, so that cursors skip row groups. With ``half`` a
+    component takes 16 bits (see ``corpus.vectors``), else 32."""
+    if half:
+        schema = T.StructType([f if f.name != "embedding" else T.StructField("embedding", T.BinaryType()) for f in df.schema.fields])
+        df = df.mapInArrow(_halves, schema)
     df.sortWithinPartitions("source_index").write.mode("append" if append else "overwrite").option("maxRecordsPerFile", shard_size).parquet(path)
 
 
