@@ -35,7 +35,7 @@ BLANK = r"[\x20\x09-\x0D]+"
 #: Buckets of each measure (four bits of a cell), and how many measures there are.
 BUCKETS, MEASURES = 16, 8
 #: Columns of our own, beside those of the documents.
-CELL, TOKENS, WORDS = "__mixing_cell", "__mixing_tokens", "__mixing_words"
+CELL, TOKENS, WORDS, OF_CELL, RATES = (f"__mixing_{x}" for x in ("cell", "tokens", "words", "of_cell", "rates"))
 
 
 @dataclass(frozen=True)
@@ -254,13 +254,13 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, domain: str, targets: dic
     held = model.domains.index(whole) if whole in model.domains else None
     rates = fit(cells, goal, whole is not None, held, settings)
     discard(cells)
-    rates = rates.select(F.col(CELL).alias("_cell"), F.struct(*names, "r").alias("_rates"))
+    rates = rates.select(F.col(CELL).alias(OF_CELL), F.struct(*names, "r").alias(RATES))
     if rates.count() <= settings.broadcast_cells:
         rates = F.broadcast(rates)
     kept = out.columns
-    out = out.join(rates, F.col(CELL) == F.col("_cell"))
-    added = {f"p_{d}": F.col(f"_rates.p{model.domains.index(d)}") if d in model.domains else F.lit(0.0) for d in sorted(targets)}
+    out = out.join(rates, F.col(CELL) == F.col(OF_CELL))
+    added = {f"p_{d}": F.col(f"{RATES}.p{model.domains.index(d)}") if d in model.domains else F.lit(0.0) for d in sorted(targets)}
     chance = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), F.lit(1 << 40)) / float(1 << 40)
-    rate = F.col("_rates.r")
+    rate = F.col(f"{RATES}.r")
     copies = (F.floor(rate) + F.when(chance < rate - F.floor(rate), 1).otherwise(0)).cast("long")
     return out.select(*(F.col(f"`{c}`") for c in kept if c not in (CELL, TOKENS)), *(v.alias(c) for c, v in added.items()), F.col(TOKENS).alias("n_tokens"), rate.alias("rate"), copies.alias("copies"))
