@@ -32,8 +32,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest doc_id of each class of near copies (rows of one doc_id are told apart by
     their texts)."""
-    gone = dart_minhash.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.xxhash64("text") == F.col("_hash")), "left_anti").select(*docs.columns)
+    gone = dart_minhash.near_duplicates(docs).where("NOT kept").select("doc_id", "text_hash").distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["text_hash"]), "left_anti").select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
