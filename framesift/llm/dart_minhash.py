@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framesift.llm.components import components, forest, roots
-from framesift.llm.runtime import by_groups, cut, discard, flat, in_blocks, pieces, ship
+from framesift.llm.runtime import by_groups, cut, discard, flat, in_blocks, lean, pieces, ship
 from framesift.llm.wordbytes import BLANKS, Words, mix, runs, whole
 
 
@@ -45,7 +45,7 @@ class Settings:
     slack: float = 0.2  # a pair is promising if at least similarity - slack of the coordinates agree
     weighted: bool = False
     block: int = 512
-    block_bytes: int = 16 << 20
+    block_bytes: int = 4 << 20
 
     @property
     def coordinates(self) -> int:
@@ -205,7 +205,7 @@ def near_duplicates(df: DataFrame, settings: Settings = Settings(), doc_id: str
         return count.astype(np.float64) if settings.weighted else np.ones(len(count))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 1 << 20):
             n = batch.num_rows
             words = Words(*flat(batch.column("text")), BLANKS, lanes=2)
             row, run, count = shingles(words, settings.words)
@@ -227,7 +227,7 @@ def near_duplicates(df: DataFrame, settings: Settings = Settings(), doc_id: str
                 names=["id", "h", "size", "s1", "s2", "has", "signature", "bands"],
             )
 
-    signed = docs.mapInArrow(sign, "id long, h long, size long, s1 long, s2 long, has boolean, signature binary, bands array<long>")
+    signed = docs.mapInArrow(lean(sign), "id long, h long, size long, s1 long, s2 long, has boolean, signature binary, bands array<long>")
     signed = cut(signed, "signatures")
     taking = signed.where("has AND id IS NOT NULL")
     # A class holds all texts of one set. Its signature is any of theirs: they are equal. It is a node, named by its smallest
@@ -235,6 +235,7 @@ def near_duplicates(df: DataFrame, settings: Settings = Settings(), doc_id: str
     classes = taking.groupBy("s1", "s2").agg(F.min(F.struct("id", "h", "size")).alias("x"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     classes = cut(classes.select("s1", "s2", "x.*", "signature", "bands"), "classes")
     twice = classes.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("twice"))
+    twice = cut(twice, "twice")
     nodes = classes.join(twice, "id", "left").withColumn("node", F.when(F.col("twice"), F.col("s1")).otherwise(F.col("id")))
     narrow = nodes.select("node", "id", "h", "size", "s1", "s2")
 
@@ -248,7 +249,7 @@ def near_duplicates(df: DataFrame, settings: Settings = Settings(), doc_id: str
     several = several.where("size > 1 AND low < high").select("band", "key", "size")
     members = in_blocks(bands.join(several, ["band", "key"]), ["band", "key"], "id", "size", settings.block)
     members = members.join(nodes.select(F.col("node").alias("id"), "signature"), "id").select("band", "key", "i", "j", "side", "id", "signature")
-    promising = dealt(members, ["band", "key"]).mapInArrow(_promising(settings), "a long, b long").where("a < b").distinct()
+    promising = dealt(members, ["band", "key"]).mapInArrow(lean(_promising(settings)), "a long, b long").where("a < b").distinct()
     found = components(promising)
     group = found
 
@@ -270,9 +271,10 @@ def near_duplicates(df: DataFrame, settings: Settings = Settings(), doc_id: str
     group = group.select(F.col("id").alias("node"), "component").join(narrow, "node").select("node", "component", "id", "h", "size")
     weight = F.greatest(F.count("*"), F.ceil(F.sum("size") * settings.block / settings.block_bytes)).alias("weight")
     group = group.join(group.groupBy("component").agg(weight), "component").select("node", "component", "id", "h", "weight")
+    group = cut(group, "groups")  # of known size: a small one is sent to the texts, not the texts to it
     texts = docs.join(group, ["id", "h"]).dropDuplicates(["node"]).select("component", F.col("node").alias("id"), "text", "weight")
     texts = dealt(in_blocks(texts, ["component"], "id", "weight", settings.block).select("component", "i", "j", "side", "id", "text"), ["component"])
-    component = components(texts.mapInArrow(compare, "a long, b long").where("a < b"))
+    component = components(texts.mapInArrow(lean(compare), "a long, b long").where("a < b"))
     linked_nodes = component.select(F.col("id").alias("node"), "component").join(narrow.select("node", "id", "s1", "s2"), "node")
     least = linked_nodes.groupBy("component").agg(F.min("id").alias("least"))
     joined = linked_nodes.join(least, "component").select("s1", "s2", "least")
@@ -281,5 +283,5 @@ def near_duplicates(df: DataFrame, settings: Settings = Settings(), doc_id: str
     rest = signed.where("NOT has OR id IS NULL").select("id", "h", F.col("id").alias("class_id"))
     out = out.unionByName(rest).select(F.col("id").alias("doc_id"), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"), F.col("h").alias("text_hash"))
     out = cut(out, "copies")
-    discard(signed, classes, found, component)
+    discard(signed, classes, twice, found, group, component)
     return out

@@ -160,7 +160,7 @@ class Automaton:
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 13, anchor: int = 5,
-                   shard_bytes: int = 4 << 20, bucket_bytes: int = 32 << 20, rest: bool = False) -> DataFrame:
+                   shard_bytes: int = 2 << 20, bucket_bytes: int = 16 << 20, rest: bool = False) -> DataFrame:
     """``df`` with ``n_words``, ``n_removed``, ``kept`` (kept words joined by a space), ``removed`` (stretches
     of words, first and last) and, if wanted, ``rest``: the text as it was, line breaks and all, less the removed
     stretches, each from its first word up to the next word that stays."""

@@ -26,9 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes that go to a Python worker at once, so that neither side holds many texts; the results don't depend on it.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that don't share the driver's path."""
+    """Make this package importable in Python workers that don't share the driver's path, and keep Arrow batches small."""
     sc = spark.sparkContext
+    for key, value in BATCH.items():
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or int(now) > int(value):
+            spark.conf.set(key, value)
     if getattr(sc, _SHIPPED, False):
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
