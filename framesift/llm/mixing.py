@@ -196,11 +196,11 @@ def fit(cells: DataFrame, targets: np.ndarray, shares: bool = False, held: int |
     steps: list[np.ndarray] = []
     error, _, every_gram = look(steps)
     ridge = 1e-6 * float(np.trace(every_gram)) * np.eye(k)
-    weight, length, values = np.linalg.pinv(every_gram + ridge), 1.0, []
+    weight, length, values, settled = np.linalg.pinv(every_gram + ridge), 1.0, [], False
     for n in range(settings.steps):
         if np.abs(error).max() < settings.tolerance:
             break
-        following = n < settings.following
+        following = n < settings.following and not settled
         least = 1 / max(1.0, float(np.abs(np.linalg.eigvals(weight @ every_gram)).max()))  # a step of this length can't lead away
         length = max(length, least)
         value = float(error @ weight @ error)
@@ -212,11 +212,13 @@ def fit(cells: DataFrame, targets: np.ndarray, shares: bool = False, held: int |
                 break
             length = max(least, length / 4 if following else least)
         steps.append(step)
-        if far < settings.tolerance**2 and not following:  # the projection stops every rate
-            break
+        if far < settings.tolerance**2:  # the projection stops every rate
+            if not following:
+                break
+            settled = True
         if following:
             length, weight = min(1.0, 4 * length), np.linalg.pinv(gram + ridge)
-            if n + 1 == settings.following:
+            if settled or n + 1 == settings.following:
                 weight, values = np.linalg.pinv(every_gram + ridge), []
         else:
             turn = float((new - error) @ weight @ (new - error))
