@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framesift.llm.components import components, forest, roots
 from framesift.llm.runtime import by_groups, cut, discard, in_blocks, lean, ship
@@ -221,7 +222,9 @@ def link(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", thres
     """One row per row of ``df``: vec_id, n_links, component_id, kept. ``sample`` bounds what ITQ learns from, by length."""
     spark = df.sparkSession
     ship(spark)
-    every = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
+    narrow = df.schema[vector].dataType == T.ArrayType(T.FloatType(), df.schema[vector].dataType.containsNull)
+    values = F.col(vector) if narrow else F.col(vector).cast("array<double>")  # floats travel as such; sums are of doubles
+    every = df.select(F.col(vec_id).cast("long").alias("vec_id"), values.alias("v"))
     takes = F.coalesce(F.col("vec_id").isNotNull() & usable("v"), F.lit(False))
     good = every.where(takes)
     # A vector is a node, named by its smallest id, or by its hash where two vectors have the same (a repeated vec_id).
