@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framesift.llm.runtime import cut, discard, lean, ship
 
@@ -107,7 +108,8 @@ def _exact(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def quantised(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
     """The rows that take part: id and vector not null, components neither null nor non-finite, and at least one."""
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    good = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    narrow = df.schema[vector].dataType == T.ArrayType(T.FloatType(), df.schema[vector].dataType.containsNull)
+    good = df.select(F.col(vec_id).cast("long").alias("id"), (F.col(vector) if narrow else F.col(vector).cast("array<double>")).alias("v"))
     return good.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & (F.size("v") > 0))
 
 
@@ -185,6 +187,7 @@ def top_k(df: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector: s
     spark = df.sparkSession
     ship(spark)
     good = quantised(df, vec_id, vector)
+    kind = good.schema["v"].dataType.simpleString()  # floats travel as such
     queries = cut(good.where(is_query).dropDuplicates(["id", "v"]), "queries")
     # of equal vectors the k + 1 smallest ids, each up to k times
     once = good.groupBy("v", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
@@ -207,7 +210,7 @@ def top_k(df: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector: s
                     leaf[rows] = shared.value[d].leaf_of(m)
             yield batch.append_column("leaf", pa.array(leaf))
 
-    assigned = vectors.mapInArrow(assign, "id long, v array<double>, times int, leaf int").withColumn("d", F.size("v"))
+    assigned = vectors.mapInArrow(assign, f"id long, v {kind}, times int, leaf int").withColumn("d", F.size("v"))
     leaves = assigned.groupBy("d", "leaf").agg(F.count("*").alias("n")).orderBy("d", "leaf").collect()  # as many as the splits have
     base, numbered = 0, []
     for r in leaves:
@@ -287,7 +290,7 @@ def top_k(df: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector: s
         both = shards.select("shard", F.lit(0).alias("kind"), "id", "v", "times", F.lit(None).cast("long").alias("floor")).unionByName(asked)
         return both.repartition(tasks, "shard").sortWithinPartitions("shard", "kind").mapInArrow(lean(search), "query_id long, vec_id long, score long")
 
-    schema = "id long, v array<double>, floor long, shard long"
+    schema = f"id long, v {kind}, floor long, shard long"
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     home = queries.withColumn("floor", F.lit(None).cast("long")).mapInArrow(bounds(False), schema)
     first = found = cut(at_shards(home), "home")
