@@ -10,8 +10,8 @@ coordinate with the probability of the (weighted) Jaccard similarity.
 
 Texts with equal sets (by 128 bits of hash, of words without arithmetic structure) are one class and enter once. Classes that agree in a band of coordinates meet in a
 bucket, where whole signatures are compared; a bucket gives a forest of its promising pairs, not all of them.
-What hangs together by promising pairs is a group; each text of a group of several travels there once, and
-there all exact similarities are found at once, as a product of sparse incidences with the runs that two texts
+What hangs together by promising pairs is a group; each text of a group of several travels there once, others are
+sieved out before the shuffle, and there all exact similarities are found at once, as a product of sparse incidences with the runs that two texts
 share. A group gives stars, not pairs. So no link within a group is lost, and copies are never expanded into
 pairs. Buckets and groups beyond ``block`` members, and groups beyond ``block_bytes``, are split into block pairs. A pair just at 0.8 is missed with
 a probability of 3e-5 by the bands (20 of 4) and of 4e-6 by the comparison of signatures (at least 0.6 of 80
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framesift.llm.components import components, forest, roots
-from framesift.llm.runtime import by_groups, cut, discard, flat, in_blocks, lean, pieces, ship
+from framesift.llm.runtime import by_groups, cut, discard, flat, in_blocks, lean, pieces, ship, sieve
 from framesift.llm.wordbytes import BLANKS, Words, mix, runs, whole
 
 
@@ -271,8 +271,10 @@ def near_duplicates(df: DataFrame, settings: Settings = Settings(), doc_id: str
     group = group.select(F.col("id").alias("node"), "component").join(narrow, "node").select("node", "component", "id", "h", "size")
     weight = F.greatest(F.count("*"), F.ceil(F.sum("size") * settings.block / settings.block_bytes)).alias("weight")
     group = group.join(group.groupBy("component").agg(weight), "component").select("node", "component", "id", "h", "weight")
-    group = cut(group, "groups")  # of known size: a small one is sent to the texts, not the texts to it
-    texts = docs.join(group, ["id", "h"]).dropDuplicates(["node"]).select("component", F.col("node").alias("id"), "text", "weight")
+    group = cut(group, "groups")
+    # Only texts of groups travel, repeated rows once a task; the join finds them dealt by its keys.
+    texts = sieve(docs, ["id", "h"], group).dropDuplicates(["id", "h"]).join(group, ["id", "h"])
+    texts = texts.select("component", F.col("node").alias("id"), "text", "weight")
     texts = dealt(in_blocks(texts, ["component"], "id", "weight", settings.block).select("component", "i", "j", "side", "id", "text"), ["component"])
     component = components(texts.mapInArrow(lean(compare), "a long, b long").where("a < b"))
     linked_nodes = component.select(F.col("id").alias("node"), "component").join(narrow.select("node", "id", "s1", "s2"), "node")

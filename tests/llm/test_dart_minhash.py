@@ -103,6 +103,29 @@ def test_words_that_fool_polynomial_hashes(spark):
     assert [x.class_id for x in dm.near_duplicates(df).orderBy("doc_id").collect()] == [1, 2, 1, 4]
 
 
+def test_texts_without_near_copies_are_not_shuffled(spark):
+    """Whether or not the table of groups is small enough to be sent to the texts."""
+    rng = random.Random(8)
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(3000)) for _ in range(120)]
+    rows = list(enumerate(texts)) + [(500, texts[3] + " more"), (500, texts[3] + " more"), (501, texts[4])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8, "doc_id").cache()
+    df.count()
+
+    def shuffled():
+        found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+    before, small = shuffled(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {x.doc_id: x.class_id for x in dm.near_duplicates(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+        df.unpersist()
+    assert got == {k: k for k in range(120)} | {500: 3, 501: 4}
+    assert 0 < shuffled() - before < sum(map(len, texts)) / 10
+
+
 def test_query_equals_brute_force(spark, sf):
     rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert {x.doc_id: x.class_id for x in op3_near_duplicates(spark, sf).collect()} == brute(rows)

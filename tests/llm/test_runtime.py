@@ -50,3 +50,14 @@ def test_words_of_any_length_have_hashes_of_their_own():
     assert len(np.unique(got.hash)) == len(np.unique(got.more)) == len(words) and not np.isin(got.hash, got.more).any()
     again = Words(np.frombuffer(b"\n".join(words[::-1]), np.uint8), np.array([0, len(text)]), BLANKS)
     assert (again.hash[::-1] == got.hash).all()
+
+
+@pytest.mark.parametrize("words", [runtime.SIEVE, 1])
+def test_sieve_loses_no_row(spark, monkeypatch, words):
+    monkeypatch.setattr(runtime, "SIEVE", words)
+    among = spark.range(0, 4000, 4).selectExpr("id", "id * 7 AS h").unionByName(spark.createDataFrame([(-5, 3), (-5, 3), (None, 3)], "id long, h long"))
+    df = spark.range(4000).selectExpr("id", "id * 7 AS h", "'t' AS text").unionByName(spark.createDataFrame([(-5, 3, "a"), (-5, 3, "b"), (-5, 4, "c")], "id long, h long, text string"))
+    got = [tuple(x) for x in runtime.sieve(df, ["id", "h"], among).collect()]
+    assert set(got) >= {(k, 7 * k, "t") for k in range(0, 4000, 4)} | {(-5, 3, "a"), (-5, 3, "b")} and len(got) == len(set(got))
+    assert len(got) < 1050 or words == 1
+    assert runtime.sieve(df, ["id", "h"], among.limit(0)).count() == 0
